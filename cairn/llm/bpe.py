@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -37,10 +38,15 @@ class PrefixBPE:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self._fits: dict[tuple[int, int], bool] = {}
-        self._pieces = _Memo(self._encode_chunk)
+        self._chunks = _Memo(self._encode_chunk)
+        self._pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode())))
         # Only a token that its own bytes merge to can come out of merges; others occur as whole pieces alone.
         self.merged = {b: i for b, i in ranks.items() if self.merge(b) == [i]}
         self.longest = max(map(len, self.merged), default=1)
+        self._suffixes = ahocorasick.Automaton()
+        for b, i in self.merged.items():
+            self._suffixes.add_word(b.decode("latin-1"), (i, len(b)))
+        self._suffixes.make_automaton()
 
     @classmethod
     def from_tiktoken(cls, content: bytes, pattern: str) -> PrefixBPE:
@@ -73,15 +79,16 @@ class PrefixBPE:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Continues the table of last tokens (last[0] is unused) to all prefixes of piece. Exact for appended bytes."""
-        merged, fits, longest = self.merged, self.fits, self.longest
-        for i in range(len(last), len(piece) + 1):
-            for j in range(max(0, i - longest), i):
-                t = merged.get(piece[j:i])
-                if t is not None and (not j or fits(last[j], t)):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        fits, done = self.fits, len(last)
+        offset = max(0, done - self.longest)
+        for at, (t, n) in self._suffixes.iter(piece[offset:].decode("latin-1")):
+            i = at + offset + 1
+            # The tokens that end at prefix i come one after another; the one that fits is the only one.
+            if i == done and (n == i or (n < i and fits(last[i - n], t))):
+                last.append(t)
+                done += 1
+        if done != len(piece) + 1:
+            raise ValueError("the vocabulary lacks a byte")
         return last
 
     def read_back(self, last: list[int]) -> list[int]:
@@ -98,16 +105,17 @@ class PrefixBPE:
         return [whole] if whole is not None else self.read_back(self.extend(piece, [-1]))
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.encode_piece(p.encode()) for p in self.pattern.findall(chunk)))
+        return tuple(chain.from_iterable(map(self._pieces.__getitem__, self.pattern.findall(chunk))))
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text. It is cut before each single blank that stands before a non-blank, where the pattern always cuts too; the chunks are memoised."""
         if not text:
             return np.zeros(0, "<u4")
         chunks = _CUT.split(text)
+        self._chunks.bound()
         self._pieces.bound()
-        rest = map(self._pieces.__getitem__, map(" ".__add__, chunks[1:]))
-        return np.fromiter(chain(self._pieces[chunks[0]], chain.from_iterable(rest)), "<u4")
+        rest = map(self._chunks.__getitem__, map(" ".__add__, chunks[1:]))
+        return np.fromiter(chain(self._chunks[chunks[0]], chain.from_iterable(rest)), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,41 +38,53 @@ MEMO_ENTRIES = 250_000
 CHUNKS_AT_ONCE = 2_000
 FLUSH_IDS = 1_000_000
 
-#: Where a text can be cut without changing its ids: the vocabulary's rules drop white space and no token spans it.
-_CHUNK = re.compile(r"[^ \t\n\r]+")
+#: Where a text can be cut without changing its ids: the vocabulary's rules drop white space, no token spans it, and a full stop or comma ends a word.
+_CHUNK = re.compile(r"[A-Za-z]+(?=[., \t\n\r]|\Z)|[^ \t\n\r]+")
 
 
 class ChunkEncoder:
-    """Encodes whole texts with a tokenizers vocabulary whose words never span white space, remembering chunks between blanks."""
+    """Encodes whole texts with a tokenizers vocabulary whose words never span white space, remembering chunks between cuts. All ids that it remembers lie in one pool; a chunk knows its stretch."""
 
     def __init__(self, content: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.starts = array("I"), array("q", [0])
 
     def _learn(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), CHUNKS_AT_ONCE):
             some = chunks[i : i + CHUNKS_AT_ONCE]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(c) + 1 for c in some)])
-            ids = np.array(got.ids, "<u4")
-            at = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
-            cut = np.searchsorted(at, starts)
-            for c, lo, hi in zip(some, cut[:-1], cut[1:], strict=True):
-                self.known[c] = ids[lo:hi]
-
-    def encode_batch(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        end, out = np.array([end_id], "<u4"), []
+            at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.offsets))
+            ends = np.searchsorted(at, np.cumsum([len(c) + 1 for c in some]))
+            self.starts.extend((ends + len(self.pool)).tolist())
+            self.pool.extend(got.ids)
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+
+    def encode_batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's ids), the end id after each text."""
         if len(self.known) > MEMO_ENTRIES:
-            self.known.clear()
-        for text in texts:
-            chunks = _CHUNK.findall(text)
-            known = self.known
-            if new := [c for c in dict.fromkeys(chunks) if c not in known]:
-                self._learn(new)
-            out.append(np.concatenate([*map(known.__getitem__, chunks), end]))
-        return out
+            self._forget()
+        if end_id not in self.known:
+            self.known[end_id] = len(self.known)
+            self.pool.append(end_id)
+            self.starts.append(len(self.pool))
+        chunks = [_CHUNK.findall(t) for t in texts]
+        new = set().union(*chunks).difference(self.known)
+        if new:
+            self._learn(sorted(new))
+        for c in chunks:
+            c.append(end_id)
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64)
+        starts = np.frombuffer(self.starts, np.int64)
+        lo, n = starts[which], starts[which + 1] - starts[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(self.pool, np.uint32)[np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + n, n)]
+        return ids, np.diff(np.r_[0, ends][np.cumsum([0, *map(len, chunks)])])
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -91,12 +105,11 @@ def write_tokens(df: DataFrame, vocabulary: str, end_id: int, path: str, text: s
             while begin < batch.num_rows:
                 stop = int(max(begin + 1, np.searchsorted(lengths, (lengths[begin - 1] if begin else 0) + 2 * FLUSH_IDS)))
                 texts = batch.column(1).slice(begin, stop - begin).to_pylist()
-                ids = encoder.encode_batch([t or "" for t in texts], end_id)
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
-                rows = pa.array(np.arange(row, row + len(ids)))
+                ids, sizes = encoder.encode_batch([t or "" for t in texts], end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(ids.astype(np.int32)))
+                rows = pa.array(np.arange(row, row + len(texts)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), batch.column(2).slice(begin, stop - begin), rows, pa.array(sizes), lists], ["doc_id", "shard", "row", "n_tokens", "ids"])
-                row, begin = row + len(ids), stop
+                row, begin = row + len(texts), stop
 
     ordered = df.select("doc_id", F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.withColumn("shard", F.spark_partition_id())
