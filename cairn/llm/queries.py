@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import bpe, licences, mixing, token_store
+from cairn.llm import bpe, licences, mixing, quality, token_store, topk
 from cairn.llm.common import shared_dir, table
 
 #: Production parameters.
@@ -19,6 +20,10 @@ MIX_REPEATS = 3
 MIX_BLOCK_WORDS = 64
 
 
+def op1_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_bpe_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(TOKEN_RANKS, "rb") as f:
         ranks = f.read()
@@ -36,6 +41,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, path)
 
 
+def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, sizes = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_REPEATS, MIX_BLOCK_WORDS)
     return mixing.taken(pieces, sizes).select("doc_id", "size", "source_size", "target", "taken")
@@ -45,6 +55,20 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, e FROM v WHERE vec_id % 100 = 0),
+s AS (
+  SELECT q.query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q JOIN v ON q.query_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
@@ -96,6 +120,6 @@ FROM documents d LEFT JOIN s USING (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe_prefix_table, op4_token_store, op7_source_mix, op9_licence_scan)
+    f.__name__: f for f in (op1_segment_top_k, op3_bpe_prefix_table, op4_token_store, op5_quality_neighbours, op7_source_mix, op9_licence_scan)
 }
-ORACLES: dict[str, str] = {"op7_source_mix": OP7_SQL, "op9_licence_scan": _op9_sql()}
+ORACLES: dict[str, str] = {"op1_segment_top_k": OP1_SQL, "op7_source_mix": OP7_SQL, "op9_licence_scan": _op9_sql()}
