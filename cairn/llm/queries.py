@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, licences, mixing, quality, token_store, topk
+from cairn.llm import bpe, lattice, licences, mixing, quality, token_store, topk
 from cairn.llm.common import shared_dir, table
 
 #: Production parameters.
@@ -51,6 +51,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(pieces, sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_lattice_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -120,6 +124,6 @@ FROM documents d LEFT JOIN s USING (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_segment_top_k, op3_bpe_prefix_table, op4_token_store, op5_quality_neighbours, op7_source_mix, op9_licence_scan)
+    f.__name__: f for f in (op1_segment_top_k, op3_bpe_prefix_table, op4_token_store, op5_quality_neighbours, op7_source_mix, op8_lattice_duplicates, op9_licence_scan)
 }
 ORACLES: dict[str, str] = {"op1_segment_top_k": OP1_SQL, "op7_source_mix": OP7_SQL, "op9_licence_scan": _op9_sql()}
