@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, lattice, licences, mixing, quality, token_store, topk
+from cairn.llm import bpe, lattice, licences, mixing, quality, setsketch, token_store, topk
 from cairn.llm.common import shared_dir, table
 
 #: Production parameters.
 TOKEN_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+DUPLICATE_SHINGLE_WORDS = 2
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 MIX_REPEATS = 3
 MIX_BLOCK_WORDS = 64
@@ -59,6 +60,10 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_setsketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), DUPLICATE_SHINGLE_WORDS)
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -124,6 +129,6 @@ FROM documents d LEFT JOIN s USING (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_segment_top_k, op3_bpe_prefix_table, op4_token_store, op5_quality_neighbours, op7_source_mix, op8_lattice_duplicates, op9_licence_scan)
+    f.__name__: f for f in (op1_segment_top_k, op3_bpe_prefix_table, op4_token_store, op5_quality_neighbours, op7_source_mix, op8_lattice_duplicates, op9_licence_scan, op10_setsketch_duplicates)
 }
 ORACLES: dict[str, str] = {"op1_segment_top_k": OP1_SQL, "op7_source_mix": OP7_SQL, "op9_licence_scan": _op9_sql()}
