@@ -37,7 +37,7 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._chunks = _Memo(self._encode_chunk)
         self._pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode())))
         # Only a token that its own bytes merge to can come out of merges; others occur as whole pieces alone.
@@ -68,25 +68,27 @@ class PrefixBPE:
         return [self.ranks[p] for p in parts]
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a."""
-        key = (a, b)
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) >= MEMO_ENTRIES:
-                self._fits.clear()
-            known = self._fits[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        """Whether token b may follow token a; remembered."""
+        if len(self._fits) >= MEMO_ENTRIES:
+            self._fits.clear()
+        known = self._fits[a << 32 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Continues the table of last tokens (last[0] is unused) to all prefixes of piece. Exact for appended bytes."""
-        fits, done = self.fits, len(last)
+        known, done = self._fits.get, len(last)
         offset = max(0, done - self.longest)
         for at, (t, n) in self._suffixes.iter(piece[offset:].decode("latin-1")):
-            i = at + offset + 1
-            # The tokens that end at prefix i come one after another; the one that fits is the only one.
-            if i == done and (n == i or (n < i and fits(last[i - n], t))):
-                last.append(t)
-                done += 1
+            # The tokens that end at a prefix come one after another; the one that fits is the only one.
+            if at + offset + 1 != done:
+                continue
+            if n < done:
+                before = last[done - n]
+                fit = known(before << 32 | t)
+                if not (self.fits(before, t) if fit is None else fit):
+                    continue
+            last.append(t)
+            done += 1
         if done != len(piece) + 1:
             raise ValueError("the vocabulary lacks a byte")
         return last
@@ -130,15 +132,21 @@ _CUT = re.compile(f" (?=[^{_BLANK}])")
 
 
 class _Memo(dict):
+    """Remembers what make() returns, in a young and an old generation; what is asked for again becomes young."""
+
     def __init__(self, make) -> None:
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        out = self[key] = self.make(key)
+        out = self.old.pop(key, None)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
     def bound(self) -> None:
         if len(self) >= MEMO_ENTRIES:
+            self.old = dict(self)
             self.clear()
 
 
