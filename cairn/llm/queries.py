@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, lattice, licences, mixing, quality, setsketch, token_store, topk
+from cairn.llm import bpe, fmindex, lattice, licences, mixing, quality, setsketch, suffixes, token_store, topk
 from cairn.llm.common import shared_dir, table
 
 #: Production parameters.
@@ -25,6 +25,10 @@ def op1_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(TOKEN_RANKS, "rb") as f:
         ranks = f.read()
@@ -47,6 +51,10 @@ def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, sizes = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_REPEATS, MIX_BLOCK_WORDS)
     return mixing.taken(pieces, sizes).select("doc_id", "size", "source_size", "target", "taken")
@@ -129,6 +137,6 @@ FROM documents d LEFT JOIN s USING (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_segment_top_k, op3_bpe_prefix_table, op4_token_store, op5_quality_neighbours, op7_source_mix, op8_lattice_duplicates, op9_licence_scan, op10_setsketch_duplicates)
+    f.__name__: f for f in (op1_segment_top_k, op2_fm_index_dedup, op3_bpe_prefix_table, op4_token_store, op5_quality_neighbours, op6_suffix_dedup, op7_source_mix, op8_lattice_duplicates, op9_licence_scan, op10_setsketch_duplicates)
 }
 ORACLES: dict[str, str] = {"op1_segment_top_k": OP1_SQL, "op7_source_mix": OP7_SQL, "op9_licence_scan": _op9_sql()}

@@ -40,6 +40,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
     """A value for each run of k consecutive values."""
     out = np.zeros(max(0, len(values) - k + 1), np.uint64)
+    if not len(out):
+        return out
     for j in range(k):
         out = mixed(out * MULTIPLIER + values[j : len(values) - k + 1 + j]) if j else values[: len(out)] * MULTIPLIER
     return mixed(out)
