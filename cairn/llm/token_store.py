@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,60 +31,50 @@ LAYOUT = {
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": 1 << 20,
     "parquet.writer.version": "v2",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 #: Chunks that a worker remembers, chunks encoded at once, and ids after which rows are handed on: they bound memory alone.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 400_000
 CHUNKS_AT_ONCE = 2_000
 FLUSH_IDS = 1_000_000
 
-#: Where a text can be cut without changing its ids: the vocabulary's rules drop white space, no token spans it, and a full stop or comma ends a word.
-_CHUNK = re.compile(r"[A-Za-z]+(?=[., \t\n\r]|\Z)|[^ \t\n\r]+")
+#: Where a text can be cut without changing its ids: the vocabulary's rules drop white space, no token spans it, and a full stop or comma ends a run of letters.
+_CHUNK = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[., \t\n\r]|\\Z)|[^ \t\n\r]+")
 
 
 class ChunkEncoder:
-    """Encodes whole texts with a tokenizers vocabulary whose words never span white space, remembering chunks between cuts. All ids that it remembers lie in one pool; a chunk knows its stretch."""
+    """Encodes whole texts with a tokenizers vocabulary whose words never span white space, remembering the ids of chunks between cuts as bytes."""
 
     def __init__(self, content: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.starts = array("I"), array("q", [0])
-
-    def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), CHUNKS_AT_ONCE):
-            some = chunks[i : i + CHUNKS_AT_ONCE]
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, chunks: set[str]) -> None:
+        again = self.old.keys() & chunks
+        self.known.update(zip(again, map(self.old.pop, again), strict=True))
+        new = list(chunks - again)
+        for i in range(0, len(new), CHUNKS_AT_ONCE):
+            some = new[i : i + CHUNKS_AT_ONCE]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.offsets))
-            ends = np.searchsorted(at, np.cumsum([len(c) + 1 for c in some]))
-            self.starts.extend((ends + len(self.pool)).tolist())
-            self.pool.extend(got.ids)
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+            ids = np.array(got.ids, "<u4").tobytes()
+            at = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(got.offsets))
+            ends = (4 * np.searchsorted(at, np.cumsum([len(c) + 1 for c in some]))).tolist()
+            self.known.update((c, ids[a:b]) for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
 
     def encode_batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's ids), the end id after each text."""
-        if len(self.known) > MEMO_ENTRIES:
-            self._forget()
-        if end_id not in self.known:
-            self.known[end_id] = len(self.known)
-            self.pool.append(end_id)
-            self.starts.append(len(self.pool))
-        chunks = [_CHUNK.findall(t) for t in texts]
-        new = set().union(*chunks).difference(self.known)
-        if new:
-            self._learn(sorted(new))
-        for c in chunks:
-            c.append(end_id)
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64)
-        starts = np.frombuffer(self.starts, np.int64)
-        lo, n = starts[which], starts[which + 1] - starts[which]
-        ends = np.cumsum(n)
-        ids = np.frombuffer(self.pool, np.uint32)[np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + n, n)]
-        return ids, np.diff(np.r_[0, ends][np.cumsum([0, *map(len, chunks)])])
+        if len(self.known) > MEMO_ENTRIES:  # what is asked for again comes over from the old ones
+            self.old, self.known = self.known, {}
+        # The vocabulary lowers letters itself; A-Z are lowered here so that chunks are known again. A special token's name is left as it is.
+        chunks = [_CHUNK.findall(t if "<|" in t else t.encode().lower().decode()) for t in texts]
+        if new := set(filterfalse(self.known.__contains__, chain.from_iterable(chunks))):
+            self._learn(new)
+        end = end_id.to_bytes(4, "little")
+        out = [b"".join(map(self.known.__getitem__, c)) + end for c in chunks]
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -126,13 +116,13 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
     return out
 
 
-def token_starts(stored: DataFrame) -> DataFrame:
-    """shard, row, start: how many ids stand before each document in the whole store; sums of shards, then of the rows in a shard. The shards, not the rows, are summed in one task."""
+def token_starts(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Adds start to rows of a store (with shard, row and n_tokens): how many ids stand before each document in the whole store; sums of shards, then of the rows in a shard. The shards, not the rows, are summed in one task."""
     sums = stored.groupBy("shard").agg(F.sum("n_tokens").alias("words"))
     before = W.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("shard", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     inside = W.partitionBy("shard").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
-    rows = stored.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    rows = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return rows.join(sums, "shard").withColumn("start", F.col("offset") + F.col("within")).drop("offset", "within")
 
 
@@ -147,4 +137,4 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "shard", "row", "n_tokens", "ids_crc32"])
 
     sums = read_tokens(spark, path).select("doc_id", "shard", "row", "ids").mapInArrow(crc, "doc_id bigint, shard int, row bigint, n_tokens bigint, ids_crc32 bigint")
-    return token_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_starts(sums, read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
