@@ -31,7 +31,7 @@ def word_count(text: str = "text") -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: list[float], repeats: int) -> DataFrame:
-    """One row per source: source, source_size, weight, target. Sources in code point order, null last, get the weights in turn and share all words; no target exceeds `repeats` times its source's size, what is over is shared again by weight. That level is found in closed form: with sources in order of cap over weight, a source is capped if its cap is under its share of what the ones before it leave. The work is on one row per source."""
+    """One row per source: source, source_size, weight, target. Sources in code point order, null last, get the weights in turn and share all words; no target exceeds `repeats` times its source's size, what is over is shared again by weight. That level is found in closed form: with sources in order of cap over weight, a source is capped if its cap is under its share of what the ones before it leave; the first that is not sets the level (levels fall from there on). The work is on one row per source."""
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     one = F.lit(1)
     by_name = W.partitionBy(one).orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: list[float], repeats: int) -> Data
     s = s.withColumn("left_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     s = s.withColumn("level", F.col("left_words") / F.col("left_weight"))
     s = s.withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
-    s = s.withColumn("common", F.min(F.when(~F.col("capped"), F.col("level"))).over(every))
+    s = s.withColumn("common", F.max(F.when(~F.col("capped"), F.col("level"))).over(every))
     target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("common") * F.col("weight"), F.col("cap")))
     return s.select("source", "source_size", "weight", target.alias("target"))
 

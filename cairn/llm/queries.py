@@ -99,7 +99,7 @@ l AS (
   FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, left_words / left_weight AS level, cap <= left_words / left_weight * weight AS capped FROM l),
 t AS (
-  SELECT source, source_size, CASE WHEN capped THEN cap ELSE least((min(CASE WHEN NOT capped THEN level END) OVER ()) * weight, cap) END AS target
+  SELECT source, source_size, CASE WHEN capped THEN cap ELSE least((max(CASE WHEN NOT capped THEN level END) OVER ()) * weight, cap) END AS target
   FROM c),
 p AS (
   SELECT d.*, t.source_size, t.target,
