@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than ASCII blanks (space, tab to carriage return), unchanged.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +60,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_key(text: str = "text"):
-    """A 128-bit key of a whole text (null counts as empty)."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+def give_back_memory() -> None:
+    """Hands freed memory of a worker back to the system: workers live on through tasks of all kinds."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass

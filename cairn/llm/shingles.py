@@ -38,13 +38,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
-    """A value for each run of k consecutive values."""
-    out = np.zeros(max(0, len(values) - k + 1), np.uint64)
-    if not len(out):
-        return out
-    for j in range(k):
-        out = mixed(out * MULTIPLIER + values[j : len(values) - k + 1 + j]) if j else values[: len(out)] * MULTIPLIER
-    return mixed(out)
+    """A value for each run of k consecutive values: a polynomial, from runs of 1, 2, 4, ... values joined, then spread."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, have = None, 0
+    run, size, power = values, 1, MULTIPLIER
+    with np.errstate(over="ignore"):
+        while True:
+            if k & size:
+                out = run if out is None else out[: len(run) - have] * power + run[have:] if have else run
+                have += size
+            if have == k:
+                return mixed(out[:n])
+            run = run[:-size] * power + run[size:]
+            size, power = 2 * size, power * power
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:

@@ -15,20 +15,23 @@ and equal stretches are decided once.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import discard, materialize
+from cairn.llm.common import discard, give_back_memory, materialize
 from cairn.llm.shingles import rolling
 
-#: Bytes of stretches after which a task hands them on.
-FLUSH_BYTES = 6_000_000
+#: Bytes of stretches after which a task hands them on, and parts of a shard that are decided one after another.
+FLUSH_BYTES = 4_000_000
+PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -136,9 +139,20 @@ def _dealt(df: DataFrame, partitions: int, *more: str) -> DataFrame:
 # --- the four steps --------------------------------------------------------------------------------------------------
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about FLUSH_BYTES of the column's bytes at most, or one row."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            stop = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + FLUSH_BYTES, "right")))
+            yield batch.slice(begin, stop - begin)
+            begin = stop
+
+
 def _anchors(units: Units, shards: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1):
             found, rids, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = units.values(units.parse(text.as_py() or ""))
@@ -158,6 +172,7 @@ def _anchors(units: Units, shards: int):
             out = [(dest, _pack(low[p], mid[p], rid[p], number[p])) for dest, p in _by(_shard(anchor, shards))]
             for i in range(0, len(out), 256):
                 yield _rows(out[i : i + 256])
+            give_back_memory()
 
     return work
 
@@ -167,16 +182,18 @@ def _repeated(units: Units, homes: int):
         held: list[list[np.ndarray]] = [[], []]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held[0]:
+            if sum(map(len, held[0])):
                 rid, number = (np.concatenate(h) for h in held)
                 order = np.lexsort((number, rid))
                 rid, number = rid[order], number[order]
                 once = np.r_[True, (rid[1:] != rid[:-1]) | (number[1:] != number[:-1])]
                 rid, number = rid[once], number[once]
                 yield _rows([(dest, _pack(rid[p], number[p])) for dest, p in _by(rid % homes)])
-                held[0].clear(), held[1].clear()
+            held[0].clear()
+            held[1].clear()
 
         for blobs in _groups(batches):
+            give_back_memory()
             parts = [_unpack(b, "u4", "u1", "i8", "u4") for b in blobs]
             low, mid, rid, number = (np.concatenate([p[k] for p in parts]) for k in range(4))
             anchor = low.astype(np.uint64) | mid.astype(np.uint64) << np.uint64(32)
@@ -190,7 +207,7 @@ def _repeated(units: Units, homes: int):
             keep = order[np.repeat(repeated, np.diff(np.r_[starts, len(a)]))]
             held[0].append(rid[keep])
             held[1].append(number[keep])
-            if sum(map(len, held[0])) > 2_000_000:
+            if sum(map(len, held[0])) > 500_000:
                 yield from flush()
         yield from flush()
 
@@ -229,10 +246,11 @@ def _sent(units: Units, shards: int):
             anchor = np.array([h[2] for h in held], np.uint64)
             first, windows = (np.array([h[k] for h in held], np.uint32) for k in (3, 4))
             sizes = np.array([len(h[5]) for h in held], np.uint32)
+            part = (anchor >> np.uint64(32)).astype(np.uint8) % np.uint8(PARTS)
             rows = []
             for dest, p in _by(_shard(anchor, shards)):
                 body = np.frombuffer(b"".join(held[i][5] for i in p), np.uint8)
-                rows.append((dest, _pack(rid[p], order[p], first[p], windows[p], sizes[p]) + zstandard.compress(body.tobytes(), 1)))
+                rows.append((dest, _pack(rid[p], order[p], first[p], windows[p], sizes[p], part[p]) + zstandard.compress(body.tobytes(), 1)))
             yield _rows(rows)
 
         for part, (rids, numbers) in _sides(batches, "u4"):
@@ -255,26 +273,41 @@ def _sent(units: Units, shards: int):
     return work
 
 
-def _read_stretches(blobs: list[bytes]) -> Stretches:
-    known: dict[bytes, int] = {}
-    contents, windows, which, columns = [], [], [], []
+def _read_stretches(blobs: list[bytes]) -> Iterator[Stretches]:
+    """A shard's stretches, one part of its anchors after another, so that what a decision needs at once stays small."""
+    known: list[dict[bytes, int]] = [{} for _ in range(PARTS)]
+    windows: list[array] = [array("q") for _ in range(PARTS)]
+    columns = []
     for blob in blobs:
-        head = np.frombuffer(blob, "<u4", 6)
-        end = int(24 + head[1:].sum())
-        rid, order, first, n, sizes = _unpack(blob[:end], "i8", "i8", "u4", "u4", "u4")
+        head = np.frombuffer(blob, "<u4", 7)
+        end = int(28 + head[1:].sum())
+        rid, order, first, n, sizes, part = _unpack(blob[:end], "i8", "i8", "u4", "u4", "u4", "u1")
         body = zstandard.decompress(blob[end:], max_output_size=int(sizes.sum()) + 1)
         cuts = np.r_[0, np.cumsum(sizes)].tolist()
-        for a, b, k in zip(cuts[:-1], cuts[1:], n.tolist(), strict=True):
-            c = body[a:b]
-            at = known.get(c)
-            if at is None:
-                at = known[c] = len(contents)
-                contents.append(c)
-                windows.append(k)
+        which = array("q")
+        for a, b, k, x in zip(cuts[:-1], cuts[1:], n.tolist(), part.tolist(), strict=True):
+            at = known[x].setdefault(body[a:b], len(known[x]))
+            if at == len(windows[x]):
+                windows[x].append(k)
             which.append(at)
-        columns.append((rid, order, first.astype(np.int64)))
-    rid, order, first = (np.concatenate([c[k] for c in columns]) for k in range(3))
-    return Stretches(contents, np.array(windows, np.int64), np.array(which, np.int64), rid, order, first)
+        columns.append((rid, order, first, part, np.frombuffer(which, np.int64)))
+    rid, order, first, part, which = (np.concatenate([c[k] for c in columns]) for k in range(5))
+    for x in range(PARTS):
+        mine = np.flatnonzero(part == x)
+        if len(mine):
+            yield Stretches(list(known[x]), np.frombuffer(windows[x], np.int64), which[mine], rid[mine], order[mine], first[mine].astype(np.int64))
+        known[x] = {}
+
+
+def _runs(s: Stretches, goes: Callable[[np.ndarray], np.ndarray], i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rid, first window, number) of the runs of windows that go in occurrences i."""
+    n = s.windows[s.which[i]]
+    flags = goes(i)
+    at = np.arange(len(flags)) - np.repeat(np.cumsum(n) - n, n)
+    begins = np.flatnonzero(flags & ((at == 0) | ~np.r_[False, flags[:-1]]))
+    ends = np.flatnonzero(flags & ((at == np.repeat(n, n) - 1) | ~np.r_[flags[1:], False]))
+    owner = np.repeat(i, n)[begins]
+    return s.rid[owner], (s.first[owner] + at[begins]).astype(np.uint32), (ends - begins + 1).astype(np.uint32)
 
 
 def _decided(decide: Callable[[Stretches], Callable[[np.ndarray], np.ndarray]], homes: int):
@@ -282,20 +315,12 @@ def _decided(decide: Callable[[Stretches], Callable[[np.ndarray], np.ndarray]],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _groups(batches):
-            s = _read_stretches(blobs)
-            goes = decide(s)
-            held = []
-            for k in range(0, len(s.which), 20_000):
-                i = np.arange(k, min(k + 20_000, len(s.which)))
-                n = s.windows[s.which[i]]
-                flags = goes(i)
-                start = np.cumsum(n) - n
-                at = np.arange(len(flags)) - np.repeat(start, n)
-                begins = np.flatnonzero(flags & ((at == 0) | ~np.r_[False, flags[:-1]]))
-                last = at == np.repeat(n, n) - 1
-                ends = np.flatnonzero(flags & (last | ~np.r_[flags[1:], False]))
-                owner = np.repeat(i, n)[begins]
-                held.append((s.rid[owner], (s.first[owner] + at[begins]).astype(np.uint32), (ends - begins + 1).astype(np.uint32)))
+            give_back_memory()
+            held = [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))]
+            for s in _read_stretches(blobs):
+                goes = decide(s)
+                for k in range(0, len(s.which), 20_000):
+                    held.append(_runs(s, goes, np.arange(k, min(k + 20_000, len(s.which)))))
             rid, first, n = (np.concatenate([h[k] for h in held]) for k in range(3))
             order = np.lexsort((first, rid))
             rid, first, n = rid[order], first[order], n[order]
