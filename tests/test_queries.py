@@ -23,3 +23,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_without_sql(spark, sf_dir):
+    from cairn.queries_rows import QUERIES as ROWS
+    from cairn.queries_rows import RUN_BYTES
+
+    got = ROWS["lattice_breaks"](spark, sf_dir).collect()
+    assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and max(r.longest for r in got) <= RUN_BYTES and any(r.n_breaks for r in got)
+    docs = ROWS["docmeta_extract"](spark, sf_dir).collect()
+    assert docs and all(r.same and len(r.authors) == 1 for r in docs)
