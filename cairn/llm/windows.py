@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import discard, give_back_memory, materialize
-from cairn.llm.shingles import rolling
+from cairn.llm.shingles import mixed, rolling
 
 #: Bytes of stretches after which a task hands them on, and parts of a shard that are decided one after another.
 FLUSH_BYTES = 4_000_000
@@ -73,7 +73,8 @@ def stretches(values: np.ndarray, units: Units, hashes: np.ndarray | None = None
     if span < want:
         low = np.minimum(low[: len(low) - (want - span)], low[want - span :])
     first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    return low[first], first, np.diff(np.r_[first, n])
+    # Smallest hashes crowd at the low end; spread again, they fill the shards evenly.
+    return mixed(low[first]), first, np.diff(np.r_[first, n])
 
 
 # --- packing ---------------------------------------------------------------------------------------------------------
@@ -162,7 +163,7 @@ def _anchors(units: Units, shards: int):
                 if not units.across and len(got):
                     # Windows of one stretch can be equal too, if its anchor stands in the text twice: such a stretch counts twice.
                     ordered = np.sort(hashes)
-                    twice = np.isin(got, ordered[1:][ordered[1:] == ordered[:-1]])
+                    twice = np.isin(got, mixed(ordered[1:][ordered[1:] == ordered[:-1]]))
                     got, number = np.r_[got, got[twice]], np.r_[number, number[twice]]
                 found.append(got)
                 rids.append(np.full(len(got), rid))
