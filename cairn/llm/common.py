@@ -45,10 +45,21 @@ def discard(*tables: DataFrame) -> None:
             _written.remove(path)
 
 
-def discard_all(spark: SparkSession) -> None:
-    """Deletes every table written so far; for callers whose results have all been written elsewhere."""
-    while _written:
-        _delete(spark, _written.pop())
+class Scope:
+    """What a caller's operators wrote between begin() and begin(): deleted by the next begin(), when the caller's results stand elsewhere."""
+
+    def __init__(self) -> None:
+        self.mark: int | None = None
+
+    def begin(self, spark: SparkSession) -> None:
+        self.end(spark)
+        self.mark = len(_written)
+
+    def end(self, spark: SparkSession) -> None:
+        if self.mark is not None:
+            while len(_written) > self.mark:
+                _delete(spark, _written.pop())
+        self.mark = None
 
 
 def _delete(spark: SparkSession, path: str) -> None:
