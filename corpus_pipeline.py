@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, fmindex, mixing, quality, setsketch
-from cairn.llm.common import discard_all, shared_dir, table
+from cairn.llm.common import Scope, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near-duplicates: similarity of sets of five-word shingles from 0.8 on.
@@ -28,17 +28,20 @@ TOKEN_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: No SQL states the scores of the classifier or the ids of the vocabulary.
 ORACLE_SQL = None
 
+#: Tables that a stage's operators wrote; they go when the next stage begins, whose input is written by then.
+_scope = Scope()
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts label 1 for; the others go."""
-    discard_all(spark)
+    _scope.begin(spark)
     voters = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, voters).where(F.col("score") >= quality.CUT).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id, and one row of it."""
-    discard_all(spark)
+    _scope.begin(spark)
     found = setsketch.near_duplicates(docs, SHINGLE_WORDS).where("not kept").select("doc_id").distinct()
     one = docs.join(found, "doc_id", "left_anti")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -50,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that 35-word windows found elsewhere cover; the words that stay are joined by one space where any went. A text of which nothing stays is an empty document."""
-    discard_all(spark)
+    _scope.begin(spark)
     out = fmindex.remove_repeated_words(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     out = out.withColumn("text", text)
@@ -59,7 +62,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes its words: whole repeats, and once more with its first words for the rest. The shares are those of the schedule's slots."""
-    discard_all(spark)
+    _scope.begin(spark)
     pieces, sizes = mixing.mix(docs, MIX_WEIGHTS, MIX_REPEATS, MIX_BLOCK_WORDS)
     takes = mixing.taken(pieces, sizes).select("doc_id", "size", "taken").where("taken > 0")
     takes = takes.groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
@@ -74,7 +77,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (binary, little-endian unsigned 32-bit) of every row; ids decode to the text's bytes."""
-    discard_all(spark)
+    _scope.begin(spark)
     with open(TOKEN_RANKS, "rb") as f:
         ranks = f.read()
     out = bpe.encode_documents(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
@@ -97,5 +100,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
-    discard_all(spark)
+    _scope.end(spark)
     return docs
