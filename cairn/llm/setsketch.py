@@ -7,8 +7,9 @@ meet, the counts of larger, smaller and equal registers give the likelihood of e
 whose likelihood at the threshold is far below the best go. The rest are confirmed on their full sets.
 
 Only what can change the components is confirmed. Texts of equal sets are one class. First each class is paired with the
-best of its cells' smallest members; then, in cells that still hold different components, every pair of different
-components. Pairs inside one component can change nothing, so no group's pairs are listed.
+best of its cells' smallest members. In cells that still hold different components, each member is then paired with one
+member of another component, and at last every likely pair of different components is confirmed, block by block, by the
+members' full sets. Pairs inside one component can change nothing, and no group's pairs are listed.
 
 Null and blank texts have empty sets and link with nothing. Repeated rows are documents of their own; repeated ids share a
 component. Extra columns are ignored; an empty table gives an empty table.
@@ -36,6 +37,8 @@ THRESHOLD = 0.8
 #: How far, in units of log likelihood, the threshold may lie below the best similarity (five standard deviations).
 SLACK = 12.5
 REGISTERS = BANDS * ROWS
+#: Turns in which each member of a cell with several components is compared with one member of another, before all likely pairs of different components are.
+TURNS = 1
 #: Shingles sketched at once.
 AT_ONCE = 200_000
 
@@ -117,15 +120,19 @@ def _sketched(k: int):
     return work
 
 
+def _band_cells(registers: np.ndarray) -> np.ndarray:
+    r = registers.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), r.shape[:2])
+    for i in range(ROWS):
+        h = mixed(h * MULTIPLIER + r[:, :, i])
+    return h.view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        r = cells.fixed_width(pa.chunked_array([batch.column(1)]), "u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
-        h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), r.shape[:2])
-        for i in range(ROWS):
-            h = mixed(h * MULTIPLIER + r[:, :, i])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(h.ravel().view(np.int64))], ["member", "cell"])
+        if batch.num_rows:
+            h = _band_cells(cells.fixed_width(pa.chunked_array([batch.column(1)]), "u2"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(h.ravel())], ["member", "cell"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -138,8 +145,8 @@ def _likely(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(best)], ["a", "b", "estimate"]).filter(pa.array(keep))
 
 
-def _across(threshold: float):
-    """Likely pairs of different components inside each group."""
+def _across(threshold: float, turn: int | None):
+    """Likely pairs of different components inside each group. With a turn: only one partner for each member, the one with most equal registers save for a small shift that differs from turn to turn."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in cells.each_group(batches):
@@ -153,24 +160,94 @@ def _across(threshold: float):
             if not len(a):
                 continue
             r = cells.fixed_width(g.column("registers"), "u2")
+            found, equals = [], []
             for k in range(0, len(a), 20_000):
                 x, y = a[k : k + 20_000], b[k : k + 20_000]
-                _, keep = estimate(r[x], r[y], n[x].astype(float), n[y].astype(float), threshold)
+                equal = (r[x] == r[y]).sum(axis=1)
+                # Far below what the threshold gives; saves the likelihoods of pairs that are nowhere near.
+                near = np.flatnonzero(equal >= REGISTERS // 2)
+                if len(near) and turn is None:
+                    near = near[estimate(r[x[near]], r[y[near]], n[x[near]].astype(float), n[y[near]].astype(float), threshold)[1]]
+                found.append(near + k)
+                equals.append(equal[near])
+            found, equals = np.concatenate(found), np.concatenate(equals)
+            x, y = member[a[found]], member[b[found]]
+            if turn is not None and len(found):
+                shift = (mixed(x.view(np.uint64) * MULTIPLIER + y.view(np.uint64) + np.uint64(turn)) >> np.uint64(58)).astype(np.int64)
+                score, at, who = np.tile(16 * equals + shift, 2), np.tile(np.arange(len(x)), 2), np.r_[x, y]
+                order = np.lexsort((-score, who))
+                first = order[np.r_[True, who[order][1:] != who[order][:-1]]]
+                chosen = np.unique(at[first])
+                x, y = x[chosen], y[chosen]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    return work
+
+
+def _taking_part(threshold: float):
+    """cell, i, j, member of the members of a group that have a likely partner in another component."""
+    pairs = _across(threshold, None)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in cells.each_group(batches):
+            found = [m for b in pairs(iter(g.combine_chunks().to_batches())) for c in ("a", "b") for m in b.column(c).to_pylist()]
+            if found:
+                rows = pa.array(sorted(set(found)), pa.int64())
+                keys = [pa.array([g.column(k)[0].as_py()] * len(rows), pa.int64()) for k in cells.KEYS]
+                yield pa.RecordBatch.from_arrays([*keys, rows], [*cells.KEYS, "member"])
+
+    return work
+
+
+def _linked(words: int, threshold: float):
+    """a, b: the members of different components in a group that their full sets link; each pair is looked at in the smallest cell that both are in."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in cells.each_group(batches):
+            member, part, block, n = (g.column(c).to_numpy() for c in ("member", "component", "block", "n"))
+            cell, i, j = (g.column(k)[0].as_py() for k in cells.KEYS)
+            ok = np.triu(part[:, None] != part[None, :], 1)
+            ok &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+            if i != j:
+                ok &= block[:, None] != block[None, :]
+            a, b = np.nonzero(ok)
+            r = cells.fixed_width(g.column("registers"), "u2")
+            home = _band_cells(r)
+            sets: dict[int, np.ndarray] = {}
+            text = g.column("text")
+            for k in range(0, len(a), 20_000):
+                x, y = a[k : k + 20_000], b[k : k + 20_000]
+                near = np.flatnonzero((r[x] == r[y]).sum(axis=1) >= REGISTERS // 2)
+                near = near[cells.owned(cell, home[x[near]], home[y[near]])]
+                if len(near):
+                    near = near[estimate(r[x[near]], r[y[near]], n[x[near]].astype(float), n[y[near]].astype(float), threshold)[1]]
+                x, y = x[near], y[near]
+                for m in np.unique(np.r_[x, y]).tolist():
+                    if m not in sets:
+                        sets[m] = shingle_set(text[m].as_py(), words)
+                keep = np.array([_similar(sets[p], sets[q], threshold) for p, q in zip(x.tolist(), y.tolist(), strict=True)], bool)
                 if keep.any():
-                    x, y = member[x[keep]], member[y[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(member[x[keep]]), pa.array(member[y[keep]])], ["a", "b"])
 
     return work
 
 
+def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two ascending sets have the Jaccard similarity; the larger is searched for the smaller's values."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return both >= threshold * (len(x) + len(y) - both) - 1e-9
+
+
 def _confirmed(k: int, threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for s, t in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                x, y = shingle_set(s.as_py(), k), shingle_set(t.as_py(), k)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+                keep.append(_similar(shingle_set(s.as_py(), k), shingle_set(t.as_py(), k), threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return work
@@ -200,22 +277,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int, threshold: float = THRE
     # One text stands for each class: that of its smallest id (repeated ids may have other texts: then that of the class's key).
     texts = docs.select(F.col("doc_id").cast("long").alias("member"), "text").join(classes.select("member"), "member", "left_semi")
     texts = texts.groupBy("member").agg(F.first("text").alias("text")) if _has_repeats(sketched) else texts
-    first = _confirm(best, texts, shingle_words, threshold)
-    parts = connected_components(first)
-    labelled = members.join(parts, members.member == parts.node, "left").select("cell", "member", F.coalesce("component", "member").alias("component"))
-    open_cells = labelled.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-    open_cells = open_cells.where("least != most").select("cell", "n")
-    again = cells.groups(labelled.select("cell", "member"), open_cells)
-    again = again.join(classes.select("member", "n", "registers"), "member").join(parts.withColumnRenamed("node", "member"), "member", "left")
-    again = again.withColumn("component", F.coalesce("component", "member")).select("cell", "i", "j", "block", "member", "component", "n", "registers")
-    pairs = materialize(cells.dealt(again).mapInArrow(_across(threshold), "a bigint, b bigint").distinct(), "setsketch-pairs")
-    second = _confirm(pairs, texts, shingle_words, threshold)
-    parts2 = connected_components(first.unionByName(second))
+    links = _confirm(best, texts, shingle_words, threshold)
+    for turn in [*range(TURNS), None]:
+        parts = connected_components(links)
+        labelled = members.join(parts, members.member == parts.node, "left").select("cell", "member", F.coalesce("component", "member").alias("component"))
+        open_cells = labelled.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+        open_cells = open_cells.where("least != most").select("cell", "n")
+        again = cells.groups(labelled.select("cell", "member"), open_cells)
+        again = again.join(classes.select("member", "n", "registers"), "member").join(parts.withColumnRenamed("node", "member"), "member", "left")
+        again = again.withColumn("component", F.coalesce("component", "member")).select("cell", "i", "j", "block", "member", "component", "n", "registers")
+        if turn is not None:
+            pairs = materialize(cells.dealt(again).mapInArrow(_across(threshold, turn), "a bigint, b bigint").distinct(), "setsketch-pairs")
+            more = _confirm(pairs, texts, shingle_words, threshold)
+        else:
+            pairs = materialize(cells.dealt(again).mapInArrow(_taking_part(threshold), "cell bigint, i bigint, j bigint, member bigint"), "setsketch-members")
+            last = again.join(pairs, [*cells.KEYS, "member"], "left_semi").join(texts, "member")
+            last = cells.dealt(last.select("cell", "i", "j", "block", "member", "component", "n", "registers", "text"))
+            more = materialize(last.mapInArrow(_linked(shingle_words, threshold), "a bigint, b bigint"), "setsketch-links")
+        both = materialize(links.unionByName(more), "setsketch-links")
+        discard(links, more, pairs, parts)
+        links = both
+    parts2 = connected_components(links)
     known = classes.select("same", "member").join(parts2.withColumnRenamed("node", "member"), "member", "left")
     known = known.select("same", F.coalesce("component", "member").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "same").join(known, "same", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    discard(members, pairs, parts, first, second)
+    discard(members, links)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
