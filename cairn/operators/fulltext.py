@@ -12,11 +12,19 @@ from cairn.plans.search import Clauses, LiveTerms, Terms, parse
 
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}]+"
+CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 
 
 def tokens(body: Column) -> Column:
-    """Runs of letters and digits in lower case; no stemming, no stop words."""
-    return F.regexp_extract_all(F.lower(body), F.lit(WORD), F.lit(0))
+    """Runs of letters and digits in lower case; no stemming, no stop words. Runs of CJK letters, which have no blanks, are taken apart from others and become overlapping pairs, so that any word of two letters or more is found as a phrase of pairs."""
+    low = F.lower(body)
+    runs = F.regexp_extract_all(low, F.lit(f"[{CJK}]+|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), F.lit(0))
+
+    def pairs(run: Column) -> Column:
+        split = F.rlike(run, F.lit(f"^[{CJK}]")) & (F.length(run) > 1)
+        return F.when(split, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))).otherwise(F.array(run))
+
+    return F.when(F.rlike(low, F.lit(f"[{CJK}]")), F.flatten(F.transform(runs, pairs))).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
 
 
 def token_stats(docs: DataFrame) -> DataFrame:

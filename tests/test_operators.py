@@ -230,3 +230,12 @@ def test_empty_inputs(spark):
     with pytest.raises(ValueError):
         scan.find_paths(spark.createDataFrame([], "file_id long, path string, deleted_at long"), " ")
     assert F is not None
+
+
+def test_cjk_words_are_found(spark):
+    docs = spark.createDataFrame([(1, "東京都庁の会議 meeting"), (2, "京都の会議"), (3, "meeting notes v2データ"), (4, "都")], "file_id long, body string")
+    assert [r.t for r in docs.where("file_id in (2, 3)").orderBy("file_id").select(fulltext.tokens(F.col("body")).alias("t")).collect()] == [["京都", "都の", "の会", "会議"], ["meeting", "notes", "v2", "デー", "ータ"]]
+    index, dl = fulltext.postings(docs), fulltext.lengths(docs)
+    find = lambda q: {r.file_id for r in fulltext.search(index, dl, q, None).collect()}
+    assert find("会議") == {1, 2} and find("京都の") == {2} and find("東京都") == {1} and find("会議 AND meeting") == {1}
+    assert find("データ") == {3} and find("都") == {4} and parse("京都の") == Terms(("京都", "都の"))
