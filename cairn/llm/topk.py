@@ -89,7 +89,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     """query_id, rank, vec_id, score: for each row of `vectors` that is_query chooses, its k highest inner products with the other rows."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     asking = rows.where("asks").select("vec_id", "embedding").where("vec_id is not null").distinct()
-    chunks = max(1, -(-2 * asking.count() // QUERIES_AT_ONCE)) if asking.count() > QUERIES_AT_ONCE else 1
+    n = asking.count()
+    chunks = -(-2 * n // QUERIES_AT_ONCE) if n > QUERIES_AT_ONCE else 1
     chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks))
     parts = [_local(rows, asking.where(chunk == c), k, scale) for c in range(chunks)]
     out = parts[0]
