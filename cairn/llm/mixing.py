@@ -83,7 +83,8 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     # The chunk's share and the point's share are reduced apart, so that large slot numbers keep their fractions.
     u = F.col("chunk") * ((POINTS_IN_CHUNK * GOLDEN) % 1.0) + F.col("i") * GOLDEN
     points = points.withColumn("u", u - F.floor(u)).withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = points.join(stretches, "cell").where("u >= lo and u < hi")
+    # Spark takes the points for as few as the chunks they come from and would broadcast them.
+    hit = points.hint("merge").join(stretches, "cell").where("u >= lo and u < hi")
     counts = hit.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     before = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
