@@ -132,7 +132,7 @@ def _decide(s: Stretches) -> Callable[[np.ndarray], np.ndarray]:
     words = np.array([numbers.setdefault(w, len(numbers)) for c in split for w in c], np.int64)
     repeated = repeated_windows(words, np.array([len(c) for c in split], np.int64))
     at = np.cumsum(s.windows) - s.windows
-    repeated |= np.repeat(np.bincount(s.which, minlength=len(split)) > 1, s.windows)
+    repeated |= np.repeat(np.bincount(s.which, weights=s.weight, minlength=len(split)) > 1, s.windows)
 
     def goes(i: np.ndarray) -> np.ndarray:
         n = s.windows[s.which[i]]

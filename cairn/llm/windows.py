@@ -10,7 +10,9 @@ stretches of windows with one anchor each, and equal windows have equal anchors
 4. the texts get the decisions back.
 
 What travels is packed into compressed arrays, a row for each task and destination. No step compares documents pairwise,
-and equal stretches are decided once.
+and equal stretches are decided once. A task decides what it can by itself: of an anchor or a stretch that it has seen
+several times it sends one, and the answers for the others straight on, so that what is very common reaches its
+shard once for each task and not once for each document.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from cairn.llm.shingles import mixed, rolling
 
 #: Bytes of stretches after which a task hands them on, and parts of a shard that are decided one after another.
 FLUSH_BYTES = 4_000_000
-PARTS = 16
+PARTS = 32
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,7 @@ class Units:
 
 @dataclass
 class Stretches:
-    """Distinct stretches of a shard and where they occur. Occurrence i is stretch `which[i]` of document `rid[i]` (of order `order[i]`), whose first window starts at symbol `first[i]`."""
+    """Distinct stretches of a shard and where they occur. Occurrence i is stretch `which[i]` of document `rid[i]` (of order `order[i]`), whose first window starts at symbol `first[i]`; weight[i] is 2 if it stands for others too, about which is decided already."""
 
     contents: list[bytes]
     windows: np.ndarray
@@ -58,6 +60,7 @@ class Stretches:
     rid: np.ndarray
     order: np.ndarray
     first: np.ndarray
+    weight: np.ndarray
 
 
 def stretches(values: np.ndarray, units: Units, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,6 +116,8 @@ def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
 
 
 _BLOBS = "dest bigint, blob binary"
+#: First byte of a blob: answers that only pass through, or what is still to be decided.
+_DONE, _OPEN = b"D", b"O"
 
 
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -169,8 +174,15 @@ def _anchors(units: Units, shards: int):
                 rids.append(np.full(len(got), rid))
                 numbers.append(number)
             anchor, rid, number = np.concatenate(found), np.concatenate(rids), np.concatenate(numbers)
+            order = np.argsort(anchor, kind="stable")
+            anchor, rid, number = anchor[order], rid[order], number[order]
+            known, first = _repeats(anchor, rid, np.ones(len(rid), np.uint8), units.across)
+            out = [(dest, _DONE + _pack(rid[known][p], number[known][p])) for dest, p in _by(rid[known] % shards)]
+            weight = np.where(known, np.uint8(2), np.uint8(1))
+            sends = ~known | first
+            anchor, rid, number, weight = anchor[sends], rid[sends], number[sends], weight[sends]
             low, mid = anchor.astype(np.uint32), (anchor >> np.uint64(32)).astype(np.uint8)
-            out = [(dest, _pack(low[p], mid[p], rid[p], number[p])) for dest, p in _by(_shard(anchor, shards))]
+            out += [(dest, _OPEN + _pack(low[p], mid[p], rid[p], number[p], weight[p])) for dest, p in _by(_shard(anchor, shards))]
             for i in range(0, len(out), 256):
                 yield _rows(out[i : i + 256])
             give_back_memory()
@@ -178,6 +190,19 @@ def _anchors(units: Units, shards: int):
     return work
 
 
+def _repeats(anchor: np.ndarray, rid: np.ndarray, weight: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For ascending anchors: whether each entry's anchor is repeated, and whether the entry is its anchor's first."""
+    first = np.r_[True, anchor[1:] != anchor[:-1]] if len(anchor) else np.zeros(0, bool)
+    if not len(anchor):
+        return first, first
+    starts = np.flatnonzero(first)
+    if across:
+        repeated = (np.minimum.reduceat(rid, starts) != np.maximum.reduceat(rid, starts)) | (np.maximum.reduceat(weight, starts) > 1)
+    else:
+        repeated = np.add.reduceat(weight.astype(np.int64), starts) > 1
+    return np.repeat(repeated, np.diff(np.r_[starts, len(anchor)])), first
+
+
 def _repeated(units: Units, homes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -195,19 +220,18 @@ def _repeated(units: Units, homes: int):
 
         for blobs in _groups(batches):
             give_back_memory()
-            parts = [_unpack(b, "u4", "u1", "i8", "u4") for b in blobs]
-            low, mid, rid, number = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            anchor = low.astype(np.uint64) | mid.astype(np.uint64) << np.uint64(32)
-            order = np.argsort(anchor, kind="stable")
-            a, r = anchor[order], rid[order]
-            starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-            if units.across:
-                repeated = np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts)
-            else:
-                repeated = np.diff(np.r_[starts, len(a)]) > 1
-            keep = order[np.repeat(repeated, np.diff(np.r_[starts, len(a)]))]
-            held[0].append(rid[keep])
-            held[1].append(number[keep])
+            for b in blobs:
+                if b[:1] == _DONE:
+                    for h, x in zip(held, _unpack(b[1:], "i8", "u4"), strict=True):
+                        h.append(x)
+            parts = [_unpack(b[1:], "u4", "u1", "i8", "u4", "u1") for b in blobs if b[:1] == _OPEN]
+            if parts:
+                low, mid, rid, number, weight = (np.concatenate([p[k] for p in parts]) for k in range(5))
+                anchor = low.astype(np.uint64) | mid.astype(np.uint64) << np.uint64(32)
+                order = np.argsort(anchor, kind="stable")
+                keep = order[_repeats(anchor[order], rid[order], weight[order], units.across)[0]]
+                held[0].append(rid[keep])
+                held[1].append(number[keep])
             if sum(map(len, held[0])) > 500_000:
                 yield from flush()
         yield from flush()
@@ -248,10 +272,27 @@ def _sent(units: Units, shards: int):
             first, windows = (np.array([h[k] for h in held], np.uint32) for k in (3, 4))
             sizes = np.array([len(h[5]) for h in held], np.uint32)
             part = (anchor >> np.uint64(32)).astype(np.uint8) % np.uint8(PARTS)
-            rows = []
-            for dest, p in _by(_shard(anchor, shards)):
-                body = np.frombuffer(b"".join(held[i][5] for i in p), np.uint8)
-                rows.append((dest, _pack(rid[p], order[p], first[p], windows[p], sizes[p], part[p]) + zstandard.compress(body.tobytes(), 1)))
+            known: dict[bytes, int] = {}
+            which = np.array([known.setdefault(h[5], len(known)) for h in held], np.int64)
+            # Of equal stretches, all but those of the smallest order have an earlier document; without orders, each has another.
+            by = np.lexsort((order, which))
+            head = np.r_[True, which[by][1:] != which[by][:-1]]
+            least = order[by][head][which[by]] if units.across else None
+            done = np.zeros(len(held), bool)
+            done[by] = order[by] > least if units.across else ~head
+            weight = np.ones(len(held), np.uint8)
+            if not units.across:
+                several = np.bincount(which)[which] > 1
+                weight[several] = 2
+                answered = several
+            else:
+                answered = done
+            rows = [(dest, _DONE + _pack(rid[answered][p], first[answered][p], windows[answered][p])) for dest, p in _by(rid[answered] % shards)]
+            i = np.flatnonzero(~done)
+            for dest, p in _by(_shard(anchor[i], shards)):
+                p = i[p]
+                body = b"".join(held[k][5] for k in p)
+                rows.append((dest, _OPEN + _pack(rid[p], order[p], first[p], windows[p], sizes[p], part[p], weight[p]) + zstandard.compress(body, 1)))
             yield _rows(rows)
 
         for part, (rids, numbers) in _sides(batches, "u4"):
@@ -260,7 +301,7 @@ def _sent(units: Units, shards: int):
                 parsed = units.parse(part.column(4)[int(i)].as_py() or "")
                 anchor, first, n = stretches(units.values(parsed), units)
                 rid, order = part.column(2)[int(i)].as_py(), part.column(3)[int(i)].as_py()
-                for k in numbers[lo[i] : hi[i]]:
+                for k in np.unique(numbers[lo[i] : hi[i]]):
                     body = units.content(parsed, int(first[k]), int(first[k] + n[k]) + units.width - 1)
                     held.append((rid, order, anchor[k], first[k], n[k], body))
                     size += len(body) + 100
@@ -280,9 +321,9 @@ def _read_stretches(blobs: list[bytes]) -> Iterator[Stretches]:
     windows: list[array] = [array("q") for _ in range(PARTS)]
     columns = []
     for blob in blobs:
-        head = np.frombuffer(blob, "<u4", 7)
-        end = int(28 + head[1:].sum())
-        rid, order, first, n, sizes, part = _unpack(blob[:end], "i8", "i8", "u4", "u4", "u4", "u1")
+        head = np.frombuffer(blob, "<u4", 8)
+        end = int(32 + head[1:].sum())
+        rid, order, first, n, sizes, part, weight = _unpack(blob[:end], "i8", "i8", "u4", "u4", "u4", "u1", "u1")
         body = zstandard.decompress(blob[end:], max_output_size=int(sizes.sum()) + 1)
         cuts = np.r_[0, np.cumsum(sizes)].tolist()
         which = array("q")
@@ -291,12 +332,14 @@ def _read_stretches(blobs: list[bytes]) -> Iterator[Stretches]:
             if at == len(windows[x]):
                 windows[x].append(k)
             which.append(at)
-        columns.append((rid, order, first, part, np.frombuffer(which, np.int64)))
-    rid, order, first, part, which = (np.concatenate([c[k] for c in columns]) for k in range(5))
+        columns.append((rid, order, first, part, np.frombuffer(which, np.int64), weight))
+    if not columns:
+        return
+    rid, order, first, part, which, weight = (np.concatenate([c[k] for c in columns]) for k in range(6))
     for x in range(PARTS):
         mine = np.flatnonzero(part == x)
         if len(mine):
-            yield Stretches(list(known[x]), np.frombuffer(windows[x], np.int64), which[mine], rid[mine], order[mine], first[mine].astype(np.int64))
+            yield Stretches(list(known[x]), np.frombuffer(windows[x], np.int64), which[mine], rid[mine], order[mine], first[mine].astype(np.int64), weight[mine])
         known[x] = {}
 
 
@@ -318,7 +361,8 @@ def _decided(decide: Callable[[Stretches], Callable[[np.ndarray], np.ndarray]],
         for blobs in _groups(batches):
             give_back_memory()
             held = [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))]
-            for s in _read_stretches(blobs):
+            held += [tuple(_unpack(b[1:], "i8", "u4", "u4")) for b in blobs if b[:1] == _DONE]
+            for s in _read_stretches([b[1:] for b in blobs if b[:1] == _OPEN]):
                 goes = decide(s)
                 for k in range(0, len(s.which), 20_000):
                     held.append(_runs(s, goes, np.arange(k, min(k + 20_000, len(s.which)))))
@@ -361,7 +405,7 @@ def remove_repeats(docs: DataFrame, units: Units, decide: Callable, join: Callab
     """Every row of docs, its columns followed by kept (binary), n_total, n_removed and n_spans (maximal removed runs). docs has doc_id and text."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, homes = 4 * partitions, 4 * partitions
+    shards, homes = 2 * partitions, 2 * partitions
     rest = docs.columns
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)))
     if docs.where("doc_id is null").limit(1).count() or docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
