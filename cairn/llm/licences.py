@@ -1,10 +1,17 @@
 """Licence scan: normalised text compared to licence templates by Dice coefficient over word bigrams. DataFrame functions only.
 
-Compared are each line of a text and the text as a whole. Normalised: lower case, every run of characters other than
+Compared are each line of a text, the text as a whole, and runs of consecutive words outside the lines that match, so that
+a wrapped notice, a licence inside a longer text and a notice that shares its line are found. Normalised: lower case, every run of characters other than
 letters and digits one blank. A unit of x distinct bigrams can reach Dice t with a template of y only if
 t / (2 - t) * y <= x <= (2 - t) / t * y, so a unit is compared only with templates in its size bounds, after a count
 of its bigrams that any template has has shown that the threshold can be reached at all.
 
+A run begins and ends at a bigram of its template, is at most three times as long as the template, and counts as no shorter
+than it, so that a part of a notice does not pass for all of it. Such a run has at least t * y of the template's bigrams, so
+only texts that have as many are searched; in them the best run always reaches from one end of a stretch of shared bigrams to
+an end of another, as one shared bigram more never lowers Dice. Of runs that overlap the one of the highest Dice counts, then of
+the smaller template name. Runs are also compared with the full licence texts (licence_texts; there are none of CC licences).
+
 Null and empty texts, and units of under two words, have no bigrams and match nothing. Ties go to the smaller template name. Every
 row gives one row, repeated rows too; an empty table gives an empty table.
 """
@@ -12,10 +19,13 @@ row gives one row, repeated rows too; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import materialize
+
 #: Notices by which texts state a licence, and the openings of the licences' own texts.
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
@@ -30,7 +40,13 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
 }
+#: Headers that only runs are compared with, besides TEMPLATES and the full texts: the header of version 2 is close to that of version 3.
+HEADERS = {"gpl-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."]}
 THRESHOLD = 0.8
+#: From so many bigrams on a template is looked for only in texts that have enough bigrams for it.
+LONG = 300
+#: What stands for a line that matches, when runs are looked for: a word that no template has.
+BARRIER = "0line0that0matches0"
 
 
 def template_bigrams(templates: dict[str, list[str]] | None = None) -> list[tuple[str, list[str]]]:
@@ -78,10 +94,58 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     return best.select(key, "unit", F.col("best.licence").alias("licence"), (-F.col("best.worse")).alias("dice"))
 
 
+def full_texts() -> dict[str, list[str]]:
+    return {p.stem: [p.read_text(encoding="utf-8")] for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
+def _list(b: list[str]) -> Column:
+    return F.split(F.lit("|".join(b)), r"\|")
+
+
+def scan_runs(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """As scan(), of the runs of words outside the units found; unit is minus the place of the run's first word, a line found counting as one word. df must have one row per key."""
+    known = template_bigrams() + template_bigrams(HEADERS) + template_bigrams(full_texts())
+    short = [b for _, b in known if len(b) < LONG]
+    has = lambda b: F.size(F.array_intersect("grams", b))
+    enough = has(_list(sorted({g for b in short for g in b}))) >= threshold * min(map(len, short))
+    for b in (b for _, b in known if len(b) >= LONG):
+        enough = enough | ((F.size("grams") >= threshold * len(b)) & (has(_list(b)) >= threshold * len(b)))
+    rows = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(len(b)).alias("m"), _list(b).alias("known")) for name, b in known])
+    c = df.where(F.col(text).isNotNull()).select(key, text, _once(normalised_words(F.col(text))).alias("words"))
+    c = c.where(F.size("words") >= 2).select(key, text, _once(bigrams(F.col("words"))).alias("grams")).where(enough)
+    c = c.select(key, text, _once(F.filter(rows, lambda t: (F.size("grams") >= threshold * t["m"]) & (has(t["known"]) >= threshold * t["m"]))).alias("ts")).where(F.size("ts") > 0)
+    c = c.join(found.groupBy(key).agg(F.collect_set("unit").alias("units")), key, "left").withColumn("units", F.coalesce("units", F.array().cast("array<int>"))).where(~F.array_contains("units", 0))
+    body = F.array_join(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.when(F.array_contains("units", i + 1), F.lit(BARRIER)).otherwise(x)), "\n")
+    c = c.select(key, "ts", _once(normalised_words(body)).alias("words"))
+    pairs = F.array_compact(F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    c = c.where(F.size("words") >= 2).select(key, "ts", _once(pairs).alias("g")).select(key, "g", F.explode("ts").alias("t"))
+    hits = F.array_compact(F.transform("g", lambda x, i: F.when(F.array_contains(F.col("t.known"), x), i + 1)))
+    c = c.select(key, "g", "t", _once(hits).alias("hits")).where(F.size("hits") >= threshold * F.col("t.m"))
+    edge = lambda step: F.filter("hits", lambda p, i: ~F.coalesce(F.get("hits", i + step) == p + step, F.lit(False)))
+    c = c.select(key, "g", "t", _once(edge(-1)).alias("starts"), F.col("hits")).select(key, "g", "t", "starts", _once(edge(1)).alias("ends"))
+    m = F.col("t.m")
+    # A run at the threshold has at most so many bigrams that the template lacks, and so no more gaps.
+    gaps = F.floor(m * (2 * (1 - threshold) / threshold)).cast("int") + 1
+
+    def runs(s: Column, i: Column) -> Column:
+        ends = F.filter(F.slice("ends", i + 1, gaps + 1), lambda e: (e - s + 1).between(threshold * m, 3 * m))
+        cut = F.transform(ends, lambda e: F.struct(s.alias("from"), e.alias("to"), F.array_distinct(F.slice("g", s, e - s + 1)).alias("grams")))
+        dice = lambda x: -2.0 * F.size(F.array_intersect(x["grams"], F.col("t.known"))) / (F.greatest(F.size(x["grams"]), m) + m)
+        return F.array_min(F.transform(cut, lambda x: F.struct(dice(x).alias("worse"), F.col("t.licence").alias("licence"), x["from"].alias("from"), x["to"].alias("to"))))
+
+    c = c.select(key, F.explode(F.transform("starts", runs)).alias("run")).where(F.col("run.worse") <= -threshold)
+    c = c.groupBy(key).agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    none = F.array().cast("array<struct<worse: double, licence: string, from: int, to: int>>")
+    apart = lambda kept, x: F.when(F.exists(kept, lambda y: (x["from"] <= y["to"]) & (y["from"] <= x["to"])), kept).otherwise(F.concat(kept, F.array(x)))
+    c = c.select(key, F.explode(F.aggregate("runs", none, apart)).alias("run"))
+    return c.select(key, (-F.col("run.from")).alias("unit"), F.col("run.licence").alias("licence"), (-F.col("run.worse")).alias("dice"))
+
+
 def scan_documents(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_notices (units that match), licences (distinct, ascending, joined by a comma; empty if none), best_dice of every document."""
+    """doc_id, n_notices (units and runs that match), licences (distinct, ascending, joined by a comma; empty if none), best_dice of every document."""
     d = df.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    found = scan(d.select("row", "text"), "row", threshold=threshold)
+    found = materialize(scan(d.select("row", "text"), "row", threshold=threshold), "licence-units")
+    found = found.unionByName(scan_runs(d.select("row", "text"), found, "row", threshold=threshold))
     sums = found.groupBy("row").agg(F.count("*").alias("n_notices"), F.concat_ws(",", F.array_sort(F.collect_set("licence"))).alias("licences"), F.round(F.max("dice"), 6).alias("best_dice"))
     out = d.select("doc_id", "row").join(sums, "row", "left")
     return out.select("doc_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))

@@ -325,6 +325,17 @@ def test_licences(spark):
     assert licences.scan_documents(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_licences_in_runs(spark):
+    mit, gpl3 = licences.full_texts()["mit"][0], licences.full_texts()["gpl-3.0"][0]
+    header = "\n".join(["/* This program is free software: you can redistribute it and/or modify", " * it under the terms of the GNU General Public License as published by", " * the Free Software Foundation, either version 3 of the License, or", " * (at your option) any later version. */"])
+    code = "\n".join(f"int f{i}(int x{i}) {{ return {i}; }}" for i in range(40))
+    shared = "This package is distributed free of charge. Released under the MIT License. See the file for the rest of it."
+    rows = [(1, f"The MIT License\n\n{mit}"), (2, f"first line\n{header}\n{code}"), (3, shared), (4, shared + "\n\n" + shared), (5, gpl3), (6, f"first line\n{header.replace('version 3', 'version 2')}\n{code}"), (7, "x Released under the MIT licence."), (8, "Released under the MIT License.\nmore of it\nReleased under the MIT License")]
+    got = sorted((r.doc_id, r.n_notices, r.licences) for r in licences.scan_documents(docs(spark, rows)).collect())
+    assert [g for g in got if g[0] != 5] == [(1, 1, "mit"), (2, 1, "gpl-3.0"), (3, 1, "mit"), (4, 2, "mit"), (6, 1, "gpl-2.0"), (7, 0, ""), (8, 2, "mit")]
+    assert [g[2] for g in got if g[0] == 5] == ["gpl-3.0"]
+
+
 def test_queries_equal_sql(spark, sf_dir):
     con = connect(sf_dir)
     for name, sql in ORACLES.items():
