@@ -169,6 +169,19 @@ def text_verdicts(spark, d):
     return scan.verdict_ledger(f.withColumn("size", F.when(k % 7 == 0, F.lit(0)).otherwise(F.col("size"))), max_bytes=20000)
 
 
+@query(
+    f"""WITH f AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'zip' WHEN page_id % 5 = 1 THEN 'docx' ELSE nullif(regexp_extract(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/[^/]+\\.([a-z]+)$', 1), '') END AS ext,
+  CAST(CASE WHEN page_id % 7 = 0 THEN 0 ELSE strlen(html) END AS BIGINT) AS size FROM pages),
+v AS (SELECT {_VERDICT.replace("20000", str(fixed.MAX_BODY_BYTES))} AS verdict, coalesce(ext, '') AS ext FROM f)
+SELECT verdict, CASE WHEN verdict IN ('unsupported', 'binary') THEN ext ELSE '' END AS ext, count(*) AS n FROM v GROUP BY ALL"""
+)
+def text_verdicts_whole(spark, d):
+    """text_verdicts with the engine's own bound."""
+    k = F.col("file_id")
+    f = A.page_files(spark, d).withColumn("ext", F.when(k % 5 == 0, F.lit("zip")).when(k % 5 == 1, F.lit("docx")).otherwise(F.col("ext")))
+    return scan.verdict_ledger(f.withColumn("size", F.when(k % 7 == 0, F.lit(0)).otherwise(F.col("size"))))
+
+
 @query(
     """SELECT doc_id AS file_id, CASE doc_id % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false ELSE true END AS is_text FROM documents"""
 )
@@ -189,6 +202,17 @@ def hash_backfill(spark, d):
     return out.select("file_id", F.lower(F.hex("content_hash")).alias("content_hash"), F.octet_length("magic").cast("long").alias("magic_bytes"))
 
 
+#: The bound of the hash command (engine.py).
+HASH_BYTES = 4 << 20
+
+
+@query(f"WITH {FILES} SELECT file_id, CASE WHEN size <= {HASH_BYTES} THEN sha256(body) END AS content_hash, CAST(CASE WHEN size <= {HASH_BYTES} THEN least(size, 512) ELSE NULL END AS BIGINT) AS magic_bytes FROM files")
+def hash_backfill_whole(spark, d):
+    """hash_backfill with the engine's own bound."""
+    out = scan.hash_backfill(A.document_files(spark, d, body=True), HASH_BYTES)
+    return out.select("file_id", F.lower(F.hex("content_hash")).alias("content_hash"), F.octet_length("magic").cast("long").alias("magic_bytes"))
+
+
 @query(f"WITH {NAMED} SELECT coalesce(map(['jpeg', 'tgz'], ['jpg', 'tar.gz'])[ext], ext) AS ext, count(*) AS n FROM named GROUP BY ALL")
 def ext_fold(spark, d):
     return A.named_files(spark, d).groupBy(paths.folded_ext(F.col("ext")).alias("ext")).agg(F.count("*").alias("n"))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 
 from cairn.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
@@ -33,3 +34,15 @@ def test_queries_without_sql(spark, sf_dir):
     assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and max(r.longest for r in got) <= RUN_BYTES and any(r.n_breaks for r in got)
     docs = ROWS["docmeta_extract"](spark, sf_dir).collect()
     assert docs and all(r.same and len(r.authors) == 1 for r in docs)
+
+
+def test_hash_backfill_whole(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cairn.adapters import document_files
+    from cairn.operators.scan import hash_backfill
+    from cairn.queries import HASH_BYTES
+
+    assert QUERIES["hash_backfill_whole"](spark, sf_dir).where("content_hash is null or magic_bytes is null").count() == 0
+    f = document_files(spark, sf_dir, body=True).orderBy("file_id").limit(2).withColumn("size", HASH_BYTES + F.row_number().over(Window.orderBy("file_id")) - 1)
+    assert [r.content_hash is None for r in hash_backfill(f, HASH_BYTES).orderBy("file_id").collect()] == [False, True]
