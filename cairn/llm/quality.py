@@ -8,7 +8,8 @@ their similarity, raised to a power.
 
 Fitting uses at most `examples` labelled rows, those with the smallest digests of their ids; scoring covers every row.
 Nulls count as empty texts. A text without terms, or no labelled row at all, gets the share of label 1 among the
-examples (0.5 if there is none). Repeated rows get one score each; ties between neighbours go to the earlier example; labels that are null take
+examples (0.5 if there is none). Repeated rows get one score each; of the rows of a labelled id the one of the smallest term vector is
+the example; ties between neighbours go to the earlier example; labels that are null take
 no part; an empty table gives an empty table.
 """
 
@@ -90,7 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Voters:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([terms(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "quality", "terms"])
 
-    got = rows.mapInArrow(vectors, "doc_id bigint, quality int, terms binary").orderBy("doc_id", "terms").limit(2 * examples).collect()
+    # One row per example, so that the rows of a repeated id do not take the place of other ids.
+    one = rows.mapInArrow(vectors, "doc_id bigint, quality int, terms binary").groupBy("doc_id", "quality").agg(F.min("terms").alias("terms"))
+    got = one.orderBy("doc_id", "terms", "quality").collect()
     if not got:
         return Voters(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     x = np.stack([np.frombuffer(r.terms, np.float32) for r in got])

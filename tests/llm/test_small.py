@@ -318,6 +318,14 @@ def test_quality(spark):
     assert {r.score for r in none.collect()} == {0.5}
 
 
+def test_quality_of_repeated_ids(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:6]
+    rows = [(ids[0], "BUY!! NOW!! $$$")] * 50 + [(i, "the cat sat down" if k % 2 else "$$$ ###") for k, i in enumerate(ids) if k]
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    voters = quality.fit(docs(spark, rows), labels, examples=6)
+    assert sorted(voters.labels) == [0, 0, 0, 1, 1, 1]
+
+
 def test_licences(spark):
     rows = [(1, "x\nReleased under the MIT licence.\n"), (2, "Licensed under the Apache License, Version 2.0."), (3, None), (4, ""), (5, "nothing here"), (5, "Licensed under CC BY-NC 4.0."), (6, "GNU General Public License")]
     got = sorted((r.doc_id, r.n_notices, r.licences) for r in licences.scan_documents(docs(spark, rows)).collect())
