@@ -94,13 +94,14 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     return ranked.select((F.col("chunk") * POINTS_IN_CHUNK + F.col("i")).alias("slot"), "source", "block")
 
 
-def mix(documents: DataFrame, weights: list[float], repeats: int, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """(pieces, sizes). pieces: slot, source, block, doc_id, row, from_word, n_words: the words of each document that each slot takes; blocks that no point has hit come after all slots (slot null), so that targets are met whole. sizes: doc_id, source, size, start, row, source_size, target of every document; row tells repeated ids apart."""
-    d = materialize(documents.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+def mix(documents: DataFrame, weights: list[float], repeats: int, block_words: int, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pieces, sizes). pieces: slot, source, block, doc_id, row, from_word, n_words: the words of each document that each slot takes; blocks that no point has hit come after all slots (slot null), so that targets are met whole. sizes: doc_id, source, size, start, row, source_size, target of every document; row tells repeated ids apart: the column of that name, if one is given, else a number of its own."""
+    own = [F.col(row).alias("row")] if row else []
+    d = materialize(documents.select("doc_id", "source", word_count().alias("size"), *own), "mix-sizes")
     targets = materialize(source_targets(d, weights, repeats), "mix-targets")
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     sizes = positions(d).join(t, _same(F.col("source"), F.col("s"))).drop("s")
-    sizes = materialize(sizes.withColumn("row", F.monotonically_increasing_id()), "mix-positions")
+    sizes = materialize(sizes if row else sizes.withColumn("row", F.monotonically_increasing_id()), "mix-positions")
     epochs = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch")
     runs = sizes.where("size > 0").select("doc_id", "row", "source", "size", "start", "source_size", F.floor("target").alias("words"), epochs)
     runs = runs.withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start"))
@@ -115,6 +116,6 @@ def mix(documents: DataFrame, weights: list[float], repeats: int, block_words: i
 
 
 def taken(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the words that the mix takes of each document, repeats counted."""
+    """doc_id, source, size, source_size, target, taken, row: the words that the mix takes of each document, repeats counted."""
     sums = pieces.groupBy("row").agg(F.sum("n_words").alias("words"))
-    return sizes.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    return sizes.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "row")

@@ -63,12 +63,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes its words: whole repeats, and once more with its first words for the rest. The shares are those of the schedule's slots."""
     _scope.begin(spark)
-    pieces, sizes = mixing.mix(docs, MIX_WEIGHTS, MIX_REPEATS, MIX_BLOCK_WORDS)
-    takes = mixing.taken(pieces, sizes).select("doc_id", "size", "taken").where("taken > 0")
-    takes = takes.groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    docs = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("mix_row"))
+    pieces, sizes = mixing.mix(docs, MIX_WEIGHTS, MIX_REPEATS, MIX_BLOCK_WORDS, "mix_row")
+    takes = mixing.taken(pieces, sizes).select(F.col("row").alias("mix_row"), "size", "taken").where("taken > 0")
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))).alias("copy")
-    takes = takes.select("doc_id", "size", "taken", copies)
-    rows = docs.join(takes, "doc_id").withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).cast("int"))
+    takes = takes.select("mix_row", "size", "taken", copies)
+    rows = docs.join(takes, "mix_row").withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).cast("int"))
     cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("words")), " ")
     text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)

@@ -302,6 +302,16 @@ def test_mix(spark):
     assert mixing.taken(*mixing.mix(d.limit(0), [5.0, 2.0, 1.0], 3, 16)).count() == 0
 
 
+def test_mix_stage_takes_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    d = docs(spark, [(None, "a b c d"), (None, "e f g"), (4, "x y z w"), (4, "p q r s t u"), (8, "k l m n o")])
+    want = sum(r.taken for r in mixing.taken(*mixing.mix(d, p.MIX_WEIGHTS, p.MIX_REPEATS, p.MIX_BLOCK_WORDS)).collect())
+    got = p.mix(spark, d, "").collect()
+    assert sum(len(r.text.split()) for r in got) == want and {r.doc_id for r in got} == {None, 4, 8}
+    assert {" ".join(r.text.split()[:1]) for r in got} == {"a", "e", "x", "p", "k"}
+
+
 def test_quality(spark):
     rnd = random.Random(4)
     good = lambda: " ".join(rnd.choice(["the", "cat", "sat", "Down", "here."]) for _ in range(40))
