@@ -248,6 +248,13 @@ def test_lattice_duplicates(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_lattice_links_null_ids(spark):
+    a, b, c = [1.0] + [0.0] * 8, [0.0] * 8 + [1.0], [0.0, 1.0] + [0.0] * 7
+    rows = [(None, a), (None, a), (None, b), (5, [1.0, 1e-6] + [0.0] * 7), (6, c), (7, b)]
+    got = [tuple(r) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2, None, True), (None, 2, None, True), (None, 1, None, True), (5, 2, None, False), (6, 0, 6, True), (7, 1, None, False)], key=str)
+
+
 def test_nearest_lattice_point():
     rnd = np.random.RandomState(1)
     y = rnd.randn(200, 8) * 2
