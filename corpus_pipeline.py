@@ -61,7 +61,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes its words: whole repeats, and once more with its first words for the rest. The shares are those of the schedule's slots."""
+    """Every document as often as the mix takes its words: whole repeats, and once more with its first words for the rest. The shares are those of the targets; the schedule's slots shape neither the rows nor their order."""
     _scope.begin(spark)
     docs = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("mix_row"))
     pieces, sizes = mixing.mix(docs, MIX_WEIGHTS, MIX_REPEATS, MIX_BLOCK_WORDS, "mix_row")
