@@ -186,12 +186,12 @@ def text_verdicts_whole(spark, d):
     """SELECT doc_id AS file_id, CASE doc_id % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false ELSE true END AS is_text FROM documents"""
 )
 def sniff_text(spark, d):
-    """Whole texts behind a zero byte, a UTF-8 mark, a UTF-16 mark, as they are, after six control bytes, and cut in the middle of a character."""
+    """Whole texts behind a zero byte, a UTF-8 mark, a UTF-16 mark, as they are, after six control bytes (the operator's sample of them), and cut in the middle of a character."""
     t = A.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
     k = F.col("doc_id") % 6
     sample = (
         F.when(k == 0, F.concat(F.lit(b"a\0"), "b")).when(k == 1, F.concat(F.lit(b"\xef\xbb\xbf"), "b")).when(k == 2, F.concat(F.lit(b"\xff\xfe"), "b"))
-        .when(k == 4, F.concat(F.lit(b"\1\2\3\4\5\6"), F.substring("b", 1, 20))).when(k == 5, F.concat(F.lit("é語".encode()), F.lit("語".encode()[:2]))).otherwise(F.col("b"))
+        .when(k == 4, F.substring(F.concat(F.lit(b"\1\2\3\4\5\6"), "b"), 1, fixed.SNIFF_BYTES)).when(k == 5, F.concat("b", F.lit("語".encode()[:2]))).otherwise(F.col("b"))
     )
     return t.select(F.col("doc_id").alias("file_id"), formats.sniff_is_text(sample).alias("is_text"))
 
@@ -402,7 +402,7 @@ _MAGIC_CASE = "CASE " + " ".join(f"WHEN starts_with(h, '{s}') THEN '{n}'" for s,
 def format_magic(spark, d):
     t = A.table(spark, d, "documents")
     head = F.element_at(F.array(*[F.lit(bytes.fromhex(s)) for s, _ in _MAGICS]), (F.col("doc_id") % len(_MAGICS) + 1).cast("int"))
-    sample = F.concat(F.when(F.col("doc_id") % 2 == 0, head).otherwise(F.lit(b"")), F.substring("text", 1, 20).cast("binary"))
+    sample = F.substring(F.concat(F.when(F.col("doc_id") % 2 == 0, head).otherwise(F.lit(b"")), F.col("text").cast("binary")), 1, fixed.SNIFF_BYTES)
     return t.select(F.col("doc_id").alias("file_id"), formats.format_from_magic(sample).alias("format"))
 
 

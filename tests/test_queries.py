@@ -46,3 +46,9 @@ def test_hash_backfill_whole(spark, sf_dir):
     assert QUERIES["hash_backfill_whole"](spark, sf_dir).where("content_hash is null or magic_bytes is null").count() == 0
     f = document_files(spark, sf_dir, body=True).orderBy("file_id").limit(2).withColumn("size", HASH_BYTES + F.row_number().over(Window.orderBy("file_id")) - 1)
     assert [r.content_hash is None for r in hash_backfill(f, HASH_BYTES).orderBy("file_id").collect()] == [False, True]
+
+
+def test_sniffing_reads_the_sample(spark, tmp_path):
+    spark.createDataFrame([(5, "a\0b"), (1, "a" * 30 + "\0"), (11, "plain")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.file_id: r.is_text for r in QUERIES["sniff_text"](spark, str(tmp_path)).collect()}[5] is False
+    assert {r.file_id: r.format for r in QUERIES["format_magic"](spark, str(tmp_path)).collect()} == {1: "binary", 5: "binary", 11: "text"}
