@@ -11,14 +11,16 @@ null ids come first; extra columns are not stored; an empty table gives an empty
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,48 +35,153 @@ LAYOUT = {
     "parquet.writer.version": "v2",
     "compression": "snappy",
 }
-#: Chunks that a worker remembers, chunks encoded at once, and ids after which rows are handed on: they bound memory alone.
-MEMO_ENTRIES = 400_000
+#: Chunks that a worker remembers, chunks encoded at once, and bytes of text after which rows are handed on: they bound memory alone.
+MEMO_ENTRIES = 300_000
 CHUNKS_AT_ONCE = 2_000
-FLUSH_IDS = 1_000_000
+FLUSH_BYTES = 6_000_000
 
-#: Where a text can be cut without changing its ids: the vocabulary's rules drop white space, no token spans it, and a full stop or comma ends a run of letters.
-_CHUNK = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[., \t\n\r]|\\Z)|[^ \t\n\r]+")
+#: The kind of vocabulary whose texts can be cut: lower case, white space dropped, every digit alone, runs of letters and of other characters, words marked at their ends.
+CUT_KIND = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+    "end": "</w>",
+}
+#: Bare words: what the vocabulary's rules leave as it is and take for one word.
+_BARE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Classes of bytes: white space, letters (of Latin-1 the two bytes together), digits, ASCII punctuation, the apostrophe, all others.
+_SPACE, _LETTER, _DIGIT, _PUNCTUATION, _QUOTE, _OTHER = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:127] = _PUNCTUATION
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[39] = _QUOTE
+#: Between which classes a text is cut: where no rule of the vocabulary reaches across. An apostrophe may belong to the letters after it.
+_CUT = np.zeros((6, 6), bool)
+_CUT[_LETTER, [_DIGIT, _PUNCTUATION, _QUOTE]] = True
+_CUT[_DIGIT, [_LETTER, _DIGIT, _PUNCTUATION, _QUOTE]] = True
+_CUT[_PUNCTUATION, [_LETTER, _DIGIT]] = True
+_CUT[_QUOTE, _DIGIT] = True
+_CUT[_SPACE, :] = True
+_CUT[:, _SPACE] = True
+_CUT = _CUT.ravel()
+
+
+def can_cut(content: str) -> bool:
+    """Whether a tokenizers file is of CUT_KIND, so that chunks of a text have the ids that they have in the text."""
+    d = json.loads(content)
+    pre = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = pre[0].get("pattern", {}).get("Regex") == CUT_KIND["split"] and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True
+    rest = [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in pre[1:]] == [("ByteLevel", False, False)]
+    model = d["model"]
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == CUT_KIND["end"] and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+    named = all(x["content"].startswith("<|") and not x["normalized"] for x in d.get("added_tokens", []))
+    return d.get("normalizer") == CUT_KIND["normalizer"] and split and rest and plain and named and not d.get("post_processor") and not d.get("truncation")
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(chunks of all texts, with an empty one after each text; how many chunks the texts up to and with each have). texts: binary, no nulls."""
+    raw, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw, offsets = raw[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
+    kind = _CLASS[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] >= 0x80) & (raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    begins = np.ones(len(raw), bool)
+    begins[1:] = _CUT[kind[:-1] * np.uint8(6) + kind[1:]]
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    solid = kind != _SPACE
+    ends = np.r_[0, np.cumsum(solid)][offsets[1:]]
+    starts = np.flatnonzero(begins[solid])
+    upto = np.searchsorted(starts, ends)
+    at = np.r_[np.insert(starts, upto, ends), ends[-1:]].astype(np.int32)
+    body = raw[solid]
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(body)]), upto + np.arange(1, len(ends) + 1)
 
 
 class ChunkEncoder:
-    """Encodes whole texts with a tokenizers vocabulary whose words never span white space, remembering the ids of chunks between cuts as bytes."""
+    """Encodes whole texts with a tokenizers vocabulary. Texts are cut where its rules allow (see can_cut), and the ids of chunks are remembered as bytes; texts of other vocabularies, and texts that name a special token, go to the library whole."""
 
     def __init__(self, content: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(content)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        again = self.old.keys() & chunks
-        self.known.update(zip(again, map(self.old.pop, again), strict=True))
-        new = list(chunks - again)
-        for i in range(0, len(new), CHUNKS_AT_ONCE):
-            some = new[i : i + CHUNKS_AT_ONCE]
+        self.cuts = can_cut(content)
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        if self.cuts:
+            # The same model behind no rules but white space: for words that the rules leave as they are.
+            d = json.loads(content)
+            d["normalizer"], d["pre_tokenizer"]["pretokenizers"][0] = None, {"type": "WhitespaceSplit"}
+            self.bare = Tokenizer.from_str(json.dumps(d))
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(CUT_KIND["end"])]] = True
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        words, rest = [], []
+        for c in chunks:
+            (words if _BARE.fullmatch(c) else rest).append(c)
+        for i in range(0, len(words), CHUNKS_AT_ONCE):
+            some = words[i : i + CHUNKS_AT_ONCE]
+            ids = np.array(self.bare.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.known.update((c, raw[a:b]) for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+        for i in range(0, len(rest), CHUNKS_AT_ONCE):
+            some = [c.decode() for c in rest[i : i + CHUNKS_AT_ONCE]]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
+            raw = np.array(got.ids, "<u4").tobytes()
             at = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(got.offsets))
             ends = (4 * np.searchsorted(at, np.cumsum([len(c) + 1 for c in some]))).tolist()
-            self.known.update((c, ids[a:b]) for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+            self.known.update((c.encode(), raw[a:b]) for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
 
-    def encode_batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of each text's ids), the end id after each text."""
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks."""
         if len(self.known) > MEMO_ENTRIES:  # what is asked for again comes over from the old ones
             self.old, self.known = self.known, {}
-        # The vocabulary lowers letters itself; A-Z are lowered here so that chunks are known again. A special token's name is left as it is.
-        chunks = [_CHUNK.findall(t if "<|" in t else t.encode().lower().decode()) for t in texts]
-        if new := set(filterfalse(self.known.__contains__, chain.from_iterable(chunks))):
+        out = list(map(self.known.get, chunks))
+        missing = [c for c, ids in zip(chunks, out, strict=True) if ids is None]
+        if missing:
+            new = []
+            for c in missing:
+                ids = self.old.pop(c, None)
+                if ids is None:
+                    new.append(c)
+                else:
+                    self.known[c] = ids
             self._learn(new)
+            out = list(map(self.known.__getitem__, chunks))
+        return out
+
+    def encode_batch(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """A list of ids for each text (binary; null: empty), the end id last."""
+        texts = pc.fill_null(texts, b"")
+        named = np.asarray(pc.match_substring(texts, "<|")) if self.cuts else np.ones(len(texts), bool)
         end = end_id.to_bytes(4, "little")
-        out = [b"".join(map(self.known.__getitem__, c)) + end for c in chunks]
-        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
+        if named.all():
+            return _lists([self._whole(t) + end for t in texts.to_pylist()])
+        # The vocabulary lowers letters itself; A-Z are lowered here so that chunks are known again.
+        chunks, upto = cut(pc.ascii_lower(pc.if_else(pa.array(named), b"", texts).cast(pa.string())).cast(pa.binary()))
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.known[b""] = end
+        ids = _lists(self._ids(distinct)).take(coded.indices)
+        offsets = ids.offsets.to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, offsets[upto]], pa.int32()), ids.values)
+        if not named.any():
+            return lists
+        whole = _lists([self._whole(t) + end for t in texts.filter(pa.array(named)).to_pylist()])
+        place = np.where(named, len(lists) + np.cumsum(named) - 1, np.arange(len(lists)))
+        return pa.concat_arrays([lists, whole]).take(pa.array(place))
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -91,15 +198,15 @@ def write_tokens(df: DataFrame, vocabulary: str, end_id: int, path: str, text: s
         encoder = _encoders[key]
         for batch in batches:
             begin = 0
-            lengths = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             while begin < batch.num_rows:
-                stop = int(max(begin + 1, np.searchsorted(lengths, (lengths[begin - 1] if begin else 0) + 2 * FLUSH_IDS)))
-                texts = batch.column(1).slice(begin, stop - begin).to_pylist()
-                ids, sizes = encoder.encode_batch([t or "" for t in texts], end_id)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(ids.astype(np.int32)))
-                rows = pa.array(np.arange(row, row + len(texts)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), batch.column(2).slice(begin, stop - begin), rows, pa.array(sizes), lists], ["doc_id", "shard", "row", "n_tokens", "ids"])
-                row, begin = row + len(texts), stop
+                stop = int(max(begin + 1, np.searchsorted(lengths, (lengths[begin - 1] if begin else 0) + FLUSH_BYTES)))
+                part = batch.slice(begin, stop - begin)
+                lists = encoder.encode_batch(part.column(1).cast(pa.binary()), end_id)
+                sizes = pc.list_value_length(lists).cast(pa.int64())
+                rows = pa.array(np.arange(row, row + len(lists)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows, sizes, lists], ["doc_id", "shard", "row", "n_tokens", "ids"])
+                row, begin = row + len(lists), stop
 
     ordered = df.select("doc_id", F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.withColumn("shard", F.spark_partition_id())
