@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.llm.common import give_back_memory
+
 #: Layout of the files: bytes of a row group, rows of a page (what one entry of the page indexes covers), bytes of a dictionary.
 LAYOUT = {
     "parquet.block.size": 16 << 20,
@@ -36,9 +38,9 @@ LAYOUT = {
     "compression": "snappy",
 }
 #: Chunks that a worker remembers, chunks encoded at once, and bytes of text after which rows are handed on: they bound memory alone.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 250_000
 CHUNKS_AT_ONCE = 2_000
-FLUSH_BYTES = 6_000_000
+FLUSH_BYTES = 3_000_000
 
 #: The kind of vocabulary whose texts can be cut: lower case, white space dropped, every digit alone, runs of letters and of other characters, words marked at their ends.
 CUT_KIND = {
@@ -207,6 +209,7 @@ def write_tokens(df: DataFrame, vocabulary: str, end_id: int, path: str, text: s
                 rows = pa.array(np.arange(row, row + len(lists)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows, sizes, lists], ["doc_id", "shard", "row", "n_tokens", "ids"])
                 row, begin = row + len(lists), stop
+                give_back_memory()
 
     ordered = df.select("doc_id", F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.withColumn("shard", F.spark_partition_id())
