@@ -12,12 +12,16 @@ only texts that have as many are searched; in them the best run always reaches f
 an end of another, as one shared bigram more never lowers Dice. Of runs that overlap the one of the highest Dice counts, then of
 the smaller template name. Runs are also compared with the full licence texts (licence_texts; there are none of CC licences).
 
+Texts that can match nothing go first: a match lacks few of its template's bigrams, so that of words that stand in more of them than that
+(marks) one at least is in the text.
+
 Null and empty texts, and units of under two words, have no bigrams and match nothing. Ties go to the smaller template name. Every
 row gives one row, repeated rows too; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from pathlib import Path
 
@@ -59,6 +63,39 @@ def template_bigrams(templates: dict[str, list[str]] | None = None) -> list[tupl
     return out
 
 
+#: Words too common to tell anything; marks() does without them.
+COMMON = "a about all also an and any are as at be been but by can do for from had has have her his if in into is it its may more must no not of on one only or other our out shall so such than that the their them then there these they this those to under up was we were what when which who will with would you your"
+
+
+def marks(known: list[tuple[list[str], float]]) -> list[str]:
+    """Words, and beginnings of words, of which every text with the share given of a template's bigrams has one at least: chosen one after another, each for what it adds to all templates, long ones first. Those of under five letters count as whole words only."""
+    common = set(COMMON.split())
+    need = [len(b) - math.ceil(share * len(b) - 1e-9) + 1 for b, share in known]
+    words = {w for b, _ in known for g in b for w in g.split() if len(w) > 1} - common
+    words |= {w[:n] for w in words for n in (6, 7, 8)}
+    words = {w for w in words if not any(w in c for c in common)}
+    holds = lambda g, w: w in g if len(w) >= 5 else w in g.split()
+    cover = {w: [{g for g in b if holds(g, w)} for b, _ in known] for w in sorted(words)}
+    got: list[set] = [set() for _ in known]
+    out: list[str] = []
+    while left := [k for k in range(len(known)) if len(got[k]) < need[k]]:
+        worth = lambda w: sum(min(1, len(cover[w][k] - got[k]) / (need[k] - len(got[k]))) for k in left) / (1 if len(w) > 5 else 1.5 if len(w) == 5 else 6)
+        best = max(cover, key=lambda w: (worth(w), len(w), w), default="")
+        if not best or not worth(best):  # a template of common words alone: every text may match
+            return []
+        out.append(best)
+        got = [a | b for a, b in zip(got, cover.pop(best), strict=True)]
+    return out
+
+
+def may_match(low: Column, some: list[str]) -> Column:
+    """Whether a lowered text has one of the marks."""
+    out = F.lit(not some)
+    for w in some:
+        out = out | (low.contains(w) if len(w) >= 5 else low.rlike(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])"))
+    return out
+
+
 def normalised_words(unit: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
 
@@ -143,9 +180,14 @@ def scan_runs(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
 
 def scan_documents(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_notices (units and runs that match), licences (distinct, ascending, joined by a comma; empty if none), best_dice of every document."""
-    d = df.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    found = materialize(scan(d.select("row", "text"), "row", threshold=threshold), "licence-units")
-    found = found.unionByName(scan_runs(d.select("row", "text"), found, "row", threshold=threshold))
+    # A unit at the threshold has t / (2 - t) of its template's bigrams, a run t of them.
+    some = marks([(b, threshold / (2 - threshold)) for _, b in template_bigrams()] + [(b, threshold) for _, b in template_bigrams(HEADERS) + template_bigrams(full_texts())])
+    low = df.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.explode(F.array(F.lower("text"))).alias("low"))
+    # Written, so that a row has one number for all that follows; texts that can match nothing are left out.
+    d = materialize(low.select("doc_id", "row", F.when(may_match(F.col("low"), some), F.col("text")).alias("text")), "licence-rows")
+    candidates = d.where("text is not null").select("row", "text")
+    found = materialize(scan(candidates, "row", threshold=threshold), "licence-units")
+    found = found.unionByName(scan_runs(candidates, found, "row", threshold=threshold))
     sums = found.groupBy("row").agg(F.count("*").alias("n_notices"), F.concat_ws(",", F.array_sort(F.collect_set("licence"))).alias("licences"), F.round(F.max("dice"), 6).alias("best_dice"))
     out = d.select("doc_id", "row").join(sums, "row", "left")
     return out.select("doc_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))
