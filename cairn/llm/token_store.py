@@ -132,7 +132,7 @@ class ChunkEncoder:
             ids = np.array(self.bare.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
-            self.known.update((c, raw[a:b]) for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         for i in range(0, len(rest), CHUNKS_AT_ONCE):
             some = [c.decode() for c in rest[i : i + CHUNKS_AT_ONCE]]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -146,17 +146,19 @@ class ChunkEncoder:
         if len(self.known) > MEMO_ENTRIES:  # what is asked for again comes over from the old ones
             self.old, self.known = self.known, {}
         out = list(map(self.known.get, chunks))
-        missing = [c for c, ids in zip(chunks, out, strict=True) if ids is None]
+        missing = [i for i, ids in enumerate(out) if ids is None]
         if missing:
             new = []
-            for c in missing:
-                ids = self.old.pop(c, None)
+            for i in missing:
+                c = chunks[i]
+                ids = self.old.get(c)
                 if ids is None:
                     new.append(c)
                 else:
                     self.known[c] = ids
             self._learn(new)
-            out = list(map(self.known.__getitem__, chunks))
+            for i in missing:
+                out[i] = self.known[chunks[i]]
         return out
 
     def encode_batch(self, texts: pa.Array, end_id: int) -> pa.ListArray:
