@@ -1,9 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy source schedule. DataFrame functions only.
 
 Every source's documents are shuffled (by a digest of the id) into one stream of tokens that repeats as often as the
-target asks, and the stream is cut into blocks of equal token counts. Golden-ratio points, mapped through the
-cumulative target weights, say whose block each slot takes; a point's rank among its source's points is the block's
-number. So each prefix of the slots is close to the target weights, and the whole meets them.
+target asks, and the stream is cut into blocks of equal token counts (the last one may be shorter). Golden-ratio points, mapped through the
+sources' cumulative shares of all blocks, say whose block each slot takes; a point's rank among its source's points is the block's
+number. Only blocks that a slot takes are in the mix. There are twice as many points as blocks and some: N points leave no gap of 2 / N,
+so that every stretch of the unit interval as long as k blocks' share is hit k times or more, and each source has all its blocks
+taken; points of sources that have no blocks left take nothing. So each prefix of the slots is close to the target weights, up to
+where the first source is used up, and the whole meets them.
 
 No step sorts or sums a whole source in one task: positions in a stream and ranks of points come from sums of bounded
 buckets, then of rows in a bucket. Nulls: a null text has no words, a null source is a source, the last one. Documents without
@@ -12,6 +15,9 @@ words and sources without words take nothing. Repeated rows are documents of the
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,10 +25,17 @@ from pyspark.sql import functions as F
 from cairn.llm.common import WORD, materialize
 
 GOLDEN = 0.6180339887498949
-#: Points ranked together, and how many hexadecimal digits of the digest name a bucket of a stream.
+#: Points ranked together, chunks of points numbered together, and what a step of so many points and chunks adds, reduced.
 POINTS_IN_CHUNK = 8192
-STREAM_BUCKET_DIGITS = 3
-#: Cells of the unit interval by which points meet the sources that cover them.
+CHUNKS_IN_ROW = 8192
+_PHI = (Decimal(5).sqrt() - 1) / 2
+CHUNK_STEP = float(_PHI * POINTS_IN_CHUNK % 1)
+ROW_STEP = float(_PHI * POINTS_IN_CHUNK * CHUNKS_IN_ROW % 1)
+#: Words of a source that are summed together (about); points beyond twice the blocks; sources up to which their stretches are broadcast.
+BUCKET_WORDS = 1 << 20
+SPARE_POINTS = 16
+BROADCAST_SOURCES = 50_000
+#: Cells of the unit interval by which points meet the sources that cover them, at least.
 CELLS = 1024
 
 
@@ -54,67 +67,77 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def positions(sizes: DataFrame) -> DataFrame:
-    """Adds `start`: where a document's words begin in its source's shuffled stream."""
+def positions(sizes: DataFrame, digits: int) -> DataFrame:
+    """Adds `start`: where a document's words begin in its source's shuffled stream. Its first `digits` hexadecimal digits name a digest's bucket."""
     d = sizes.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = d.withColumn("bucket", F.substring("digest", 1, STREAM_BUCKET_DIGITS))
+    d = d.withColumn("bucket", F.substring("digest", 1, digits))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("source", "bucket").orderBy("digest", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bucket").orderBy("digest", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(sums, _same(d.source, sums.s) & (d.bucket == sums.b))
-    return d.withColumn("start", F.col("offset") + F.col("within")).drop("s", "b", "offset", "within", "bucket", "digest")
+    return d.withColumn("start", F.col("offset") + F.col("within")).drop("s", "b", "offset", "within", "bucket", "digest", "tie")
 
 
 def schedule(targets: DataFrame, block_words: int) -> DataFrame:
-    """slot, source, block: which source's next block each slot takes. Point s falls at the fraction of s times the golden ratio; a source owns the stretch of the unit interval that its target is of all targets."""
+    """slot, source, block: which source's next block each slot takes. Point s falls at the fraction of s times the golden ratio; a source owns the stretch of the unit interval that its blocks are of all blocks. targets must be written: it is read several times."""
     one = F.lit(1)
     order = W.partitionBy(one).orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    total = F.sum("target").over(W.partitionBy(one))
-    t = targets.where("target >= 1").withColumn("total", total)
-    t = t.withColumn("hi", F.sum("target").over(order) / F.col("total"))
+    t = targets.where("target >= 1").withColumn("blocks", F.ceil(F.floor("target") / block_words))
+    n, blocks = t.agg(F.count("*"), F.coalesce(F.sum("blocks"), F.lit(0))).first()
+    n_cells = max(CELLS, n)
+    t = t.withColumn("hi", F.sum("blocks").over(order) / F.lit(float(blocks or 1)))
     t = t.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
-    cell = F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))))
-    stretches = t.select("source", "lo", "hi", F.floor(F.col("target") / block_words).alias("whole"), (F.floor("target") % block_words > 0).cast("long").alias("part"), cell.alias("cell"))
-    chunks = targets.agg(F.floor(F.sum("target") / (block_words * POINTS_IN_CHUNK)).alias("n")).where("n is not null")
-    chunks = chunks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("chunk")).repartition("chunk")
-    points = chunks.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(POINTS_IN_CHUNK - 1).cast("long"))).alias("i"))
-    # The chunk's share and the point's share are reduced apart, so that large slot numbers keep their fractions.
-    u = F.col("chunk") * ((POINTS_IN_CHUNK * GOLDEN) % 1.0) + F.col("i") * GOLDEN
-    points = points.withColumn("u", u - F.floor(u)).withColumn("cell", F.floor(F.col("u") * CELLS))
-    # Spark takes the points for as few as the chunks they come from and would broadcast them.
-    hit = points.hint("merge").join(stretches, "cell").where("u >= lo and u < hi")
+    cell = F.explode(F.sequence(F.floor(F.col("lo") * n_cells), F.least(F.floor(F.col("hi") * n_cells), F.lit(n_cells - 1))))
+    stretches = t.select("source", "lo", "hi", "blocks", cell.alias("cell"))
+    chunks = -(-(2 * blocks + SPARE_POINTS) // POINTS_IN_CHUNK) if blocks else 0
+    points = targets.sparkSession.range(0, chunks, 1, max(1, min(chunks, 4096))).select(F.col("id").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(POINTS_IN_CHUNK - 1).cast("long"))).alias("i"))
+    # Rows of chunks, chunks and points are reduced apart, so that large slot numbers keep their fractions.
+    row = F.floor(F.col("chunk") / CHUNKS_IN_ROW)
+    u = row * ROW_STEP % 1 + F.col("chunk") % CHUNKS_IN_ROW * CHUNK_STEP % 1 + F.col("i") * GOLDEN
+    points = points.withColumn("u", u - F.floor(u)).withColumn("cell", F.floor(F.col("u") * n_cells))
+    # The stretches are at most cells and sources: broadcast while there are few sources, else both sides are dealt by cell.
+    hit = points.join(F.broadcast(stretches), "cell") if n <= BROADCAST_SOURCES else points.hint("merge").join(stretches, "cell")
+    hit = hit.where("u >= lo and u < hi")
     counts = hit.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     before = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(W.partitionBy("source", "chunk").orderBy("i")) - 1
     ranked = hit.withColumn("rank", rank).join(counts, _same(F.col("source"), F.col("s")) & (F.col("chunk") == F.col("c")))
-    ranked = ranked.withColumn("block", F.col("offset") + F.col("rank")).where("block < whole + part")
+    ranked = ranked.withColumn("block", F.col("offset") + F.col("rank")).where("block < blocks")
     return ranked.select((F.col("chunk") * POINTS_IN_CHUNK + F.col("i")).alias("slot"), "source", "block")
 
 
 def mix(documents: DataFrame, weights: list[float], repeats: int, block_words: int, row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pieces, sizes). pieces: slot, source, block, doc_id, row, from_word, n_words: the words of each document that each slot takes; blocks that no point has hit come after all slots (slot null), so that targets are met whole. sizes: doc_id, source, size, start, row, source_size, target of every document; row tells repeated ids apart: the column of that name, if one is given, else a number of its own."""
+    """(pieces, sizes). pieces: slot, source, block, doc_id, row, epoch, from_word, n_words: the words of each document that each slot takes, in which of the source's repeats. sizes: doc_id, source, size, start, row, source_size, target of every document; row tells repeated ids apart: the column of that name, if one is given, else a number of its own. Rows of one id are ordered by size and by a hash of the text."""
     own = [F.col(row).alias("row")] if row else []
-    d = materialize(documents.select("doc_id", "source", word_count().alias("size"), *own), "mix-sizes")
+    d = materialize(documents.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("tie"), *own), "mix-sizes")
     targets = materialize(source_targets(d, weights, repeats), "mix-targets")
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
-    sizes = positions(d).join(t, _same(F.col("source"), F.col("s"))).drop("s")
+    largest = targets.agg(F.coalesce(F.max("source_size"), F.lit(0))).first()[0]
+    digits = max(1, math.ceil(math.log(max(1, largest / BUCKET_WORDS), 16)))
+    sizes = positions(d, digits).join(t, _same(F.col("source"), F.col("s"))).drop("s")
     sizes = materialize(sizes if row else sizes.withColumn("row", F.monotonically_increasing_id()), "mix-positions")
     epochs = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch")
     runs = sizes.where("size > 0").select("doc_id", "row", "source", "size", "start", "source_size", F.floor("target").alias("words"), epochs)
     runs = runs.withColumn("begin", F.col("epoch") * F.col("source_size") + F.col("start"))
     runs = runs.withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("words"))).where("begin < end")
     block = F.explode(F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words))).alias("block")
-    parts = runs.select("doc_id", "row", "source", "begin", "end", block)
+    parts = runs.select("doc_id", "row", "epoch", "source", "begin", "end", block)
     lo, hi = F.greatest("begin", F.col("block") * block_words), F.least("end", (F.col("block") + 1) * block_words)
-    parts = parts.select("doc_id", "row", "source", "block", (lo - F.col("begin")).alias("from_word"), (hi - lo).alias("n_words"))
+    parts = parts.select("doc_id", "row", "epoch", "source", "block", (lo - F.col("begin")).alias("from_word"), (hi - lo).alias("n_words"))
     slots = schedule(targets, block_words).select("slot", F.col("source").alias("s"), F.col("block").alias("b"))
-    pieces = parts.join(slots, _same(F.col("source"), F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
+    # Spark takes the slots for as few as the chunks they come from and would broadcast them.
+    pieces = parts.join(slots.hint("merge"), _same(F.col("source"), F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
     return pieces, sizes
 
 
+def copies(pieces: DataFrame) -> DataFrame:
+    """row, epoch, words, slot: each document's repeats in the mix with the words taken (its first ones) and the first slot that takes some; a mix in order of slot is interleaved as the schedule says."""
+    return pieces.groupBy("row", "epoch").agg(F.sum("n_words").alias("words"), F.min("slot").alias("slot"))
+
+
 def taken(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, row: the words that the mix takes of each document, repeats counted."""
     sums = pieces.groupBy("row").agg(F.sum("n_words").alias("words"))

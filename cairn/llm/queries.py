@@ -101,14 +101,21 @@ c AS (SELECT *, left_words / left_weight AS level, cap <= left_words / left_weig
 t AS (
   SELECT source, source_size, CASE WHEN capped THEN cap ELSE least((max(CASE WHEN NOT capped THEN level END) OVER ()) * weight, cap) END AS target
   FROM c),
+e AS (SELECT *, CAST(ceil(floor(target) / 64) AS BIGINT) AS blocks FROM t WHERE target >= 1),
+i AS (
+  SELECT source, blocks, sum(blocks) OVER (ORDER BY source NULLS LAST) / (sum(blocks) OVER ())::DOUBLE AS hi,
+         coalesce(sum(blocks) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (sum(blocks) OVER ())::DOUBLE AS lo
+  FROM e),
+u AS (SELECT slot, slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range(2 * (SELECT coalesce(sum(blocks), 0) FROM e)::BIGINT + 16)) AS slot)),
+h AS (SELECT source, least(count(*), any_value(blocks)) AS hits FROM u JOIN i ON u.u >= i.lo AND u.u < i.hi GROUP BY source),
 p AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, least(floor(t.target), 64 * coalesce(h.hits, 0)) AS scheduled,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN h ON d.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, floor(target) - start))
-          + greatest(0, least(size, floor(target) - source_size - start))
-          + greatest(0, least(size, floor(target) - 2 * source_size - start)) AS BIGINT) AS taken
+       CAST(greatest(0, least(size, scheduled - start))
+          + greatest(0, least(size, scheduled - source_size - start))
+          + greatest(0, least(size, scheduled - 2 * source_size - start)) AS BIGINT) AS taken
 FROM p
 """
 
