@@ -6,8 +6,8 @@ so two vectors meet if either lies close to the other's cell. Vectors that meet
 that meets in several cells counts in the smallest of them. Equal vectors are one class, compared once.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; neither do vectors of
-different lengths. A null id is below every other id: what is linked with a row of null id has component_id null. Repeated rows are vectors of their own and link with each other; extra columns are ignored; an empty
-table gives an empty table.
+different lengths. Repeated rows, and rows of one id, are vectors of their own. Null ids are vectors too; they are passed over where the
+smallest id is looked for (the component of null ids alone is null). Extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,10 +32,6 @@ SCALE = 0.6
 SEED = 20_011
 THRESHOLD = 0.95
 
-#: Classes with a null id are named by numbers from the least one on, below this; ids must not be.
-LEAST = -(1 << 63)
-NULL_NAMES = 1 << 48
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -181,11 +177,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
     units = rows.mapInArrow(_units, "vec_id bigint, unit binary")
     units = materialize(units.withColumn("same", F.unhex(F.md5("unit"))), "lattice-units")
-    # A null id is a member like any other, below every other id.
-    classes = units.where("unit is not null").groupBy("same").agg(F.min("vec_id").alias("id"), F.count("vec_id").alias("ids"), F.count("*").alias("n"), F.first("unit").alias("unit"))
-    name = F.when(F.col("ids") == F.col("n"), F.col("id")).otherwise(F.lit(LEAST) + F.pmod(F.xxhash64("same"), F.lit(NULL_NAMES)))
-    classes = classes.select("unit", "same", name.alias("member"), "n")
-    hashed = classes.select("member", "unit", "n", "same").mapInArrow(_hashed, "member bigint, unit binary, n bigint, same binary, cells array<bigint>")
+    classes = units.where("unit is not null").groupBy("same").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("unit").alias("unit"))
+    # Ids may be null or repeated; classes have numbers of their own, written once so that they hold for all steps.
+    classes = classes.select(F.monotonically_increasing_id().alias("member"), "unit", "n", "same", "least")
+    hashed = classes.mapInArrow(_hashed, "member bigint, unit binary, n bigint, same binary, least bigint, cells array<bigint>")
     hashed = materialize(hashed, "lattice-cells")
     light = hashed.select("member", F.explode("cells").alias("cell"))
     met = cells.groups(light, cells.crowded(light)).join(hashed.select("member", "unit", "n", "cells"), "member")
@@ -193,8 +188,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     found = materialize(met.mapInArrow(_verified(threshold), "member bigint, links bigint, root bigint"), "lattice-links")
     links = found.groupBy("member").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("member != root").select(F.col("member").alias("a"), F.col("root").alias("b")))
-    known = hashed.select("same", "member", "n").join(links, "member", "left").join(parts.withColumnRenamed("node", "member"), "member", "left")
-    known = known.select("same", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "member").alias("component"))
-    out = units.drop("unit").join(known, "same", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("component") < LEAST + NULL_NAMES, F.lit(None)).otherwise(F.coalesce("component", "vec_id")).alias("component_id"))
+    known = hashed.select("same", "member", "n", "least").join(links, "member", "left").join(parts.withColumnRenamed("node", "member"), "member", "left")
+    known = known.select("same", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "member").alias("component"))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(least, "component").select("same", "n_links", "component_id")
+    out = units.select("vec_id", "same", F.col("unit").isNull().alias("alone")).join(known, "same", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("alone"), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

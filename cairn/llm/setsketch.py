@@ -11,8 +11,9 @@ best of its cells' smallest members. In cells that still hold different componen
 member of another component, and at last every likely pair of different components is confirmed, block by block, by the
 members' full sets. Pairs inside one component can change nothing, and no group's pairs are listed.
 
-Null and blank texts have empty sets and link with nothing. Repeated rows are documents of their own; repeated ids share a
-component. Extra columns are ignored; an empty table gives an empty table.
+Null and blank texts have empty sets and link with nothing. Repeated rows, and rows of one id with different texts, are documents of
+their own. Null ids are documents too; they are passed over where the smallest id is looked for (the component of null
+ids alone is null). Extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -112,8 +113,8 @@ def _sketched(k: int):
                 got = sketches(sets)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, stop - begin), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in got], pa.binary())],
-                    ["doc_id", "n_shingles", "same", "registers"],
+                    [batch.column(0).slice(begin, stop - begin), batch.column(2).slice(begin, stop - begin), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in got], pa.binary())],
+                    ["row", "doc_id", "n_shingles", "same", "registers"],
                 )
                 begin = stop
 
@@ -263,10 +264,14 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 def near_duplicates(docs: DataFrame, shingle_words: int, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = rows.mapInArrow(_sketched(shingle_words), "doc_id bigint, n_shingles bigint, same binary, registers binary")
+    unique = not _has_repeats(rows)
+    # Rows that an id does not tell apart get numbers, written once so that they hold for all steps.
+    rows = rows.withColumn("row", F.col("doc_id")) if unique else materialize(rows.withColumn("row", F.monotonically_increasing_id()), "setsketch-rows")
+    sketched = rows.select("row", "text", "doc_id").mapInArrow(_sketched(shingle_words), "row bigint, doc_id bigint, n_shingles bigint, same binary, registers binary")
     sketched = materialize(sketched, "setsketch-documents")
-    classes = sketched.where("same is not null and doc_id is not null").groupBy("same")
-    classes = materialize(classes.agg(F.min("doc_id").alias("member"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "setsketch-classes")
+    classes = sketched.where("same is not null").groupBy("same")
+    classes = classes.agg(F.min("row").alias("member"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = materialize(classes, "setsketch-classes")
     members = materialize(classes.select("member", "registers").mapInArrow(_bands, "member bigint, cell bigint"), "setsketch-cells")
     sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.min("member").alias("leader")).where("n > 1")
     led = members.join(sizes, "cell").where("member != leader").select("member", "leader").distinct()
@@ -274,9 +279,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int, threshold: float = THRE
     met = led.select(F.col("member").alias("a"), F.col("leader").alias("b")).join(side("a"), "a").join(side("b"), "b")
     likely = met.mapInArrow(lambda batches: _likely(batches, threshold), "a bigint, b bigint, estimate double")
     best = likely.groupBy("a").agg(F.max_by("b", F.struct(F.col("estimate"), -F.col("b"))).alias("b"))
-    # One text stands for each class: that of its smallest id (repeated ids may have other texts: then that of the class's key).
-    texts = docs.select(F.col("doc_id").cast("long").alias("member"), "text").join(classes.select("member"), "member", "left_semi")
-    texts = texts.groupBy("member").agg(F.first("text").alias("text")) if _has_repeats(sketched) else texts
+    # One text stands for each class: that of its smallest row.
+    texts = rows.select(F.col("row").alias("member"), "text").join(classes.select("member"), "member", "left_semi")
     links = _confirm(best, texts, shingle_words, threshold)
     for turn in [*range(TURNS), None]:
         parts = connected_components(links)
@@ -298,13 +302,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int, threshold: float = THRE
         discard(links, more, pairs, parts)
         links = both
     parts2 = connected_components(links)
-    known = classes.select("same", "member").join(parts2.withColumnRenamed("node", "member"), "member", "left")
-    known = known.select("same", F.coalesce("component", "member").alias("component"))
+    known = classes.select("same", "member", "least").join(parts2.withColumnRenamed("node", "member"), "member", "left")
+    known = known.select("same", "least", F.coalesce("component", "member").alias("component"))
+    if unique:
+        known = known.select("same", F.col("component").alias("component_id"))
+    else:
+        least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+        known = known.join(least, "component").select("same", "component_id")
     out = sketched.select("doc_id", "n_shingles", "same").join(known, "same", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     discard(members, links)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _has_repeats(sketched: DataFrame) -> bool:
-    return bool(sketched.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+def _has_repeats(rows: DataFrame) -> bool:
+    """Whether an id is null or stands in several rows."""
+    return bool(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count())

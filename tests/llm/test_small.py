@@ -2,9 +2,12 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import struct
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
@@ -217,6 +220,14 @@ def test_setsketch_duplicates(spark, k):
     assert repeated.where("doc_id = 3").count() == 3
 
 
+def test_setsketch_links_of_repeated_and_null_ids(spark):
+    w, v, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "wvu")
+    rows = [(1, w), (1, v), (2, w + " x"), (3, v + " y"), (None, u), (None, u + " z"), (None, "apart from all"), (7, u)]
+    got = setsketch.near_duplicates(docs(spark, rows), 2).select("doc_id", "component_id", "kept").collect()
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 7, False), (None, 7, False), (None, None, True), (7, 7, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_sketches_merge_and_estimate():
     rnd = np.random.RandomState(3)
     a, b = (np.unique(rnd.randint(0, 2**62, 900).astype(np.uint64)) for _ in range(2))
@@ -252,7 +263,15 @@ def test_lattice_links_null_ids(spark):
     a, b, c = [1.0] + [0.0] * 8, [0.0] * 8 + [1.0], [0.0, 1.0] + [0.0] * 7
     rows = [(None, a), (None, a), (None, b), (5, [1.0, 1e-6] + [0.0] * 7), (6, c), (7, b)]
     got = [tuple(r) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
-    assert sorted(got, key=str) == sorted([(None, 2, None, True), (None, 2, None, True), (None, 1, None, True), (5, 2, None, False), (6, 0, 6, True), (7, 1, None, False)], key=str)
+    assert sorted(got, key=str) == sorted([(None, 2, 5, False), (None, 2, 5, False), (None, 1, 7, False), (5, 2, 5, True), (6, 0, 6, True), (7, 1, 7, True)], key=str)
+
+
+def test_lattice_counts_links_of_repeated_ids(spark):
+    e = np.eye(9)
+    a, b = e[0], e[4]
+    rows = [(1, a), (1, b), (2, a + 1e-3 * e[1]), (3, b + 1e-3 * e[2]), (None, e[7]), (None, e[7] + 1e-3 * e[8])]
+    got = lattice.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (None, 1, None, True), (None, 1, None, True)], key=str)
 
 
 def test_nearest_lattice_point():
@@ -302,13 +321,52 @@ def test_mix(spark):
     assert abs(sum(v[0].target for v in by.values()) - total) < 1e-6 * max(1, total)
     for v in by.values():
         assert sum(r.taken for r in v) == int(v[0].target + 1e-9) and v[0].source_size == sum(r.size for r in v)
-    slots = pieces.where("slot is not null").groupBy("slot").agg(F.countDistinct("source").alias("n")).where("n > 1").count()
+    slots = pieces.groupBy("slot").agg(F.countDistinct("source", "block").alias("n")).where("n > 1").count()
     assert slots == 0
     p1 = sorted(map(tuple, mixing.taken(*mixing.mix(d.repartition(7), [5.0, 2.0, 1.0], 3, 16)).select("doc_id", "taken").collect()))
     assert p1 == sorted((r.doc_id, r.taken) for r in got)
     assert mixing.taken(*mixing.mix(d.limit(0), [5.0, 2.0, 1.0], 3, 16)).count() == 0
 
 
+def _golden_slots(blocks, n):
+    """(source number, its block) of each slot, by exact integers."""
+    total, phi = sum(blocks), (Decimal(5).sqrt() - 1) / 2
+    ends = list(itertools.accumulate(blocks))
+    taken, out = [0] * len(blocks), []
+    for s in range(n):
+        at = s * phi % 1 * total
+        k = next(k for k, e in enumerate(ends) if at < e)
+        if taken[k] < blocks[k]:
+            out.append((s, k, taken[k]))
+        taken[k] += 1
+    return out
+
+
+def test_schedule_is_golden(spark):
+    blocks = [700, 1, 230, 69]
+    targets = spark.createDataFrame([("a", 700 * 64.0), ("b", 3.0), ("c", 230 * 64.0 - 1), (None, 69 * 64.0), ("d", 0.5)], "source string, target double")
+    got = sorted(((r.slot, r.source, r.block) for r in mixing.schedule(targets, 64).collect()), key=lambda r: r[0])
+    names = ["a", "b", "c", None]
+    assert got == [(s, names[k], b) for s, k, b in _golden_slots(blocks, 2 * sum(blocks) + mixing.SPARE_POINTS)]
+    assert len(got) == sum(blocks)  # every block is taken once
+    for n in range(1, 600):  # before the first source is used up, every prefix is close to the shares
+        for k, name in enumerate(names):
+            assert abs(sum(r[1] == name for r in got[:n]) - n * blocks[k] / sum(blocks)) <= 2 + math.log(n)
+
+
+def test_points_leave_no_gap():
+    for blocks in range(1, 400):
+        u = np.sort(np.arange(2 * blocks + mixing.SPARE_POINTS) * mixing.GOLDEN % 1)
+        assert np.diff(np.r_[u, 1.0]).max() < 1 / blocks
+
+
+def test_mix_needs_its_schedule(spark, monkeypatch):
+    d = docs(spark, corpus())
+    monkeypatch.setattr(mixing, "schedule", lambda t, n: t.select(F.lit(0).alias("slot"), "source", F.lit(0).cast("long").alias("block")).where("target >= 1"))
+    for r in mixing.taken(*mixing.mix(d, [5.0, 2.0, 1.0], 3, 16)).groupBy("source").agg(F.sum("taken").alias("n")).collect():
+        assert r.n <= 16
+
+
 def test_mix_stage_takes_rows_of_null_and_repeated_ids(spark):
     import corpus_pipeline as p
 
