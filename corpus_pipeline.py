@@ -3,7 +3,7 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's docs. Each stage works on all rows that its predecessor kept. All but the last return the
 columns of documents. Nulls, empty texts, repeated rows and empty tables have the results that the operators' docstrings state;
-a repeated row is a document of its own, except that near-dedup keeps one of the rows of an id.
+a repeated row, or a row of a repeated or null id, is a document of its own in every stage.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, fmindex, mixing, quality, setsketch
-from cairn.llm.common import Scope, shared_dir, table
+from cairn.llm.common import Scope, materialize, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near-duplicates: similarity of sets of five-word shingles from 0.8 on.
@@ -40,15 +40,18 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id, and one row of it."""
+    """One row of each group of near-duplicates: that of the smallest id (null ids last). Rows are grouped, not ids: a row of a repeated id stays if nothing is like it."""
     _scope.begin(spark)
-    found = setsketch.near_duplicates(docs, SHINGLE_WORDS).where("not kept").select("doc_id").distinct()
-    one = docs.join(found, "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.limit(1).count():
-        twice = one.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
-        one = one.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice)
-    return one.select(*COLUMNS)
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not ids.where("n > 1 or doc_id is null").limit(1).count():
+        gone = setsketch.near_duplicates(docs, SHINGLE_WORDS).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # Rows that an id does not tell apart get numbers, written once so that they hold for all steps.
+    docs = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("dedup_row")), "dedup-rows")
+    found = setsketch.near_duplicates(docs.select(F.col("dedup_row").alias("doc_id"), "text"), SHINGLE_WORDS)
+    found = found.select(F.col("doc_id").alias("dedup_row"), "component_id").join(docs.select("dedup_row", "doc_id"), "dedup_row")
+    best = found.groupBy("component_id").agg(F.min_by("dedup_row", F.struct(F.col("doc_id").isNull(), "doc_id", "dedup_row")).alias("dedup_row"))
+    return docs.join(best, "dedup_row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,18 +64,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes its words: whole repeats, and once more with its first words for the rest. The shares are those of the targets; the schedule's slots shape neither the rows nor their order."""
+    """Every document as often as the mix takes it: whole repeats, and once more with its first words for the rest. Rows stand in the order of the slots that take their first words, so that the sources are interleaved as the schedule says: files and rows in them ascend by slot."""
     _scope.begin(spark)
-    docs = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("mix_row"))
-    pieces, sizes = mixing.mix(docs, MIX_WEIGHTS, MIX_REPEATS, MIX_BLOCK_WORDS, "mix_row")
-    takes = mixing.taken(pieces, sizes).select(F.col("row").alias("mix_row"), "size", "taken").where("taken > 0")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))).alias("copy")
-    takes = takes.select("mix_row", "size", "taken", copies)
-    rows = docs.join(takes, "mix_row").withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).cast("int"))
-    cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("words")), " ")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    return rows.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    # Written, so that a row has one number for all that follows.
+    docs = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("mix_row")), "mix-rows")
+    pieces, _ = mixing.mix(docs, MIX_WEIGHTS, MIX_REPEATS, MIX_BLOCK_WORDS, "mix_row")
+    rows = docs.join(mixing.copies(pieces).withColumnRenamed("row", "mix_row"), "mix_row")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")
+    part = F.col("words") < mixing.word_count()
+    rows = rows.withColumn("part", part).withColumn("text", F.when(F.col("part"), cut).otherwise(F.col("text")))
+    rows = rows.withColumn("n_chars", F.when(F.col("part"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.repartitionByRange("slot").sortWithinPartitions("slot", "mix_row", "epoch").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
