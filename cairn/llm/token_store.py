@@ -38,7 +38,7 @@ LAYOUT = {
     "compression": "snappy",
 }
 #: Chunks that a worker remembers, chunks encoded at once, and bytes of text after which rows are handed on: they bound memory alone.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 350_000
 CHUNKS_AT_ONCE = 2_000
 FLUSH_BYTES = 3_000_000
 
@@ -82,7 +82,7 @@ def can_cut(content: str) -> bool:
 
 
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(chunks of all texts, with an empty one after each text; how many chunks the texts up to and with each have). texts: binary, no nulls."""
+    """(chunks of all texts, with an empty one after each text; how many chunks the texts up to and with each have). texts: no nulls."""
     raw, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     raw, offsets = raw[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
     kind = _CLASS[raw]
@@ -93,7 +93,7 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begins[1:] = _CUT[kind[:-1] * np.uint8(6) + kind[1:]]
     begins[offsets[:-1][np.diff(offsets) > 0]] = True
     solid = kind != _SPACE
-    ends = np.r_[0, np.cumsum(solid)][offsets[1:]]
+    ends = offsets[1:] - np.searchsorted(np.flatnonzero(~solid), offsets[1:])
     starts = np.flatnonzero(begins[solid])
     upto = np.searchsorted(starts, ends)
     at = np.r_[np.insert(starts, upto, ends), ends[-1:]].astype(np.int32)
@@ -120,8 +120,8 @@ class ChunkEncoder:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(CUT_KIND["end"])]] = True
 
-    def _whole(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[bytes]) -> None:
         words, rest = [], []
@@ -162,14 +162,15 @@ class ChunkEncoder:
         return out
 
     def encode_batch(self, texts: pa.Array, end_id: int) -> pa.ListArray:
-        """A list of ids for each text (binary; null: empty), the end id last."""
-        texts = pc.fill_null(texts, b"")
+        """A list of ids for each text (null: empty), the end id last."""
+        texts = pc.fill_null(texts, "")
         named = np.asarray(pc.match_substring(texts, "<|")) if self.cuts else np.ones(len(texts), bool)
         end = end_id.to_bytes(4, "little")
         if named.all():
             return _lists([self._whole(t) + end for t in texts.to_pylist()])
         # The vocabulary lowers letters itself; A-Z are lowered here so that chunks are known again.
-        chunks, upto = cut(pc.ascii_lower(pc.if_else(pa.array(named), b"", texts).cast(pa.string())).cast(pa.binary()))
+        plain = pc.if_else(pa.array(named), "", texts) if named.any() else texts
+        chunks, upto = cut(pc.ascii_lower(plain))
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         self.known[b""] = end
@@ -206,7 +207,7 @@ def write_tokens(df: DataFrame, vocabulary: str, end_id: int, path: str, text: s
             while begin < batch.num_rows:
                 stop = int(max(begin + 1, np.searchsorted(lengths, (lengths[begin - 1] if begin else 0) + FLUSH_BYTES)))
                 part = batch.slice(begin, stop - begin)
-                lists = encoder.encode_batch(part.column(1).cast(pa.binary()), end_id)
+                lists = encoder.encode_batch(part.column(1), end_id)
                 sizes = pc.list_value_length(lists).cast(pa.int64())
                 rows = pa.array(np.arange(row, row + len(lists)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows, sizes, lists], ["doc_id", "shard", "row", "n_tokens", "ids"])
