@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import discard, give_back_memory, materialize
 from cairn.llm.shingles import mixed, rolling
 
+#: Bytes of all texts for each shard, at most: what a shard holds at once does not grow with the data.
+SHARD_BYTES = 64 << 20
 #: Bytes of stretches after which a task hands them on, and parts of a shard that are decided one after another.
 FLUSH_BYTES = 4_000_000
 PARTS = 32
@@ -404,9 +406,10 @@ def _applied(units: Units, join: Callable[[object, np.ndarray], bytes], rest: li
 def remove_repeats(docs: DataFrame, units: Units, decide: Callable, join: Callable[[object, np.ndarray], bytes]) -> DataFrame:
     """Every row of docs, its columns followed by kept (binary), n_total, n_removed and n_spans (maximal removed runs). docs has doc_id and text."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, homes = 2 * partitions, 2 * partitions
     rest = docs.columns
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * SHARD_BYTES)))
+    shards, homes = 2 * partitions, 2 * partitions
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)))
     if docs.where("doc_id is null").limit(1).count() or docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         # Rows that an id does not tell apart get numbers, written once so that they hold for all steps.

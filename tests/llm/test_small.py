@@ -129,19 +129,29 @@ def test_fm_index_dedup(spark):
     assert fmindex.digests(docs(spark, rows).limit(0)).count() == 0
 
 
-def test_fm_index_counts():
+def test_matching_statistics():
     rnd = np.random.RandomState(4)
-    s = rnd.randint(0, 5, 400)
-    index = fmindex.FMIndex(s, 4)
-    for _ in range(200):
-        p = rnd.randint(0, 5, rnd.randint(1, 5))
-        lo, hi = index.whole(p[-1:])
-        for c in p[-2::-1]:
-            lo, hi = index.prepend(np.array([c]), lo, hi)
-        # Suffixes at the end run on into zeros, as in the shards, where a separator stands there.
-        padded = np.r_[s, np.zeros(8, int)]
-        want = sum((padded[i : i + len(p)] == p).all() for i in range(len(s)))
-        assert abs(int(hi[0] - lo[0]) - want) <= 1
+    passage = rnd.randint(1, 6, 40)
+    s = np.r_[rnd.randint(1, 6, 150), 0, passage, 0, passage[5:30], rnd.randint(1, 6, 60), 0, np.full(70, 3), 0]
+    several = np.zeros(len(s), bool)
+    several[151:191] = True
+    index = fmindex.FMIndex(s, several)
+    assert (fmindex.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:].tolist())).all()
+
+    def count(p):
+        hits = [i for i in range(len(s) - len(p) + 1) if (s[i : i + len(p)] == p).all()]
+        return sum(1 + bool(several[i]) for i in hits)
+
+    foreign = np.r_[passage[10:25], 0, rnd.randint(1, 6, 40), -1, passage[:20]]
+    for stream, least in ((s, 2), (foreign, 1), (foreign, 2)):
+        for most in (5, 12):
+            got = index.matching_statistics(stream, least, most)
+            for e in range(len(stream)):
+                k = 0
+                while k < most and e - k >= 0 and stream[e - k] > 0 and count(stream[e - k : e + 1]) >= least:
+                    k += 1
+                assert got[e] == k
+    assert len(index.heads) < len(s)  # runs are fewer than symbols
 
 
 def test_suffix_dedup(spark):
