@@ -17,6 +17,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         units = batch.column(1)
-        sizes = pa.compute.binary_length(units).to_numpy()
+        sizes = pc.binary_length(units).to_numpy()
         found: list[list[int]] = [[]] * batch.num_rows
         for n in np.unique(sizes):
             rows = np.flatnonzero(sizes == n)
