@@ -164,7 +164,7 @@ class ChunkEncoder:
     def encode_batch(self, texts: pa.Array, end_id: int) -> pa.ListArray:
         """A list of ids for each text (null: empty), the end id last."""
         texts = pc.fill_null(texts, "")
-        named = np.asarray(pc.match_substring(texts, "<|")) if self.cuts else np.ones(len(texts), bool)
+        named = _named(texts) if self.cuts else np.ones(len(texts), bool)
         end = end_id.to_bytes(4, "little")
         if named.all():
             return _lists([self._whole(t) + end for t in texts.to_pylist()])
@@ -172,7 +172,7 @@ class ChunkEncoder:
         plain = pc.if_else(pa.array(named), "", texts) if named.any() else texts
         chunks, upto = cut(pc.ascii_lower(plain))
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = _values(coded.dictionary)
         self.known[b""] = end
         ids = _lists(self._ids(distinct)).take(coded.indices)
         offsets = ids.offsets.to_numpy()
@@ -184,6 +184,19 @@ class ChunkEncoder:
         return pa.concat_arrays([lists, whole]).take(pa.array(place))
 
 
+def _named(texts: pa.Array) -> np.ndarray:
+    """Which texts may name a special token."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = memoryview(texts.buffers()[2] or b"")[at[0] : at[-1]]
+    return np.asarray(pc.match_substring(texts, "<|")) if bytes(raw).find(b"<|") >= 0 else np.zeros(len(texts), bool)
+
+
+def _values(binary: pa.Array) -> list[bytes]:
+    """The values of a binary array that starts at its buffer's first byte."""
+    raw, at = bytes(binary.buffers()[2] or b""), np.frombuffer(binary.buffers()[1], np.int32)[: len(binary) + 1].tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _lists(ids: list[bytes]) -> pa.ListArray:
     at = np.cumsum([0, *map(len, ids)]) // 4
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -197,7 +210,7 @@ def write_tokens(df: DataFrame, vocabulary: str, end_id: int, path: str, text: s
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, row = hash(shared.value), 0
+        key, row, flushes = hash(shared.value), 0, 0
         if key not in _encoders:
             _encoders[key] = ChunkEncoder(shared.value)
         encoder = _encoders[key]
@@ -211,8 +224,9 @@ def write_tokens(df: DataFrame, vocabulary: str, end_id: int, path: str, text: s
                 sizes = pc.list_value_length(lists).cast(pa.int64())
                 rows = pa.array(np.arange(row, row + len(lists)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows, sizes, lists], ["doc_id", "shard", "row", "n_tokens", "ids"])
-                row, begin = row + len(lists), stop
-                give_back_memory()
+                row, begin, flushes = row + len(lists), stop, flushes + 1
+                if flushes % 4 == 0:
+                    give_back_memory()
 
     ordered = df.select("doc_id", F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.withColumn("shard", F.spark_partition_id())
