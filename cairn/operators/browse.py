@@ -12,6 +12,8 @@ from cairn.functions import ranking
 from cairn.operators import tags
 
 AXES, VALUES, LABEL_TERMS, PREVIEW = 4, 8, 5, 5
+#: Universal tags that a view shows at most.
+UNIVERSAL = 64
 
 Tag = tuple[str, str]
 
@@ -45,22 +47,18 @@ def _without(rows: DataFrame, chosen: list[Tag]) -> DataFrame:
     return rows
 
 
-def _placed(selected: DataFrame, chosen: list[Tag]) -> DataFrame:
+def _placed(offered: DataFrame, values: int) -> DataFrame:
+    """The first `values` values of each namespace with their place; the others go before namespaces are shuffled."""
     order = W.partitionBy("namespace").orderBy(F.desc("n_files"), "value")
-    return _offered(selected, chosen).withColumn("place", F.row_number().over(order))
+    return offered.withColumn("place", F.row_number().over(order)).where(F.col("place") <= values)
 
 
 def axes(selected: DataFrame, chosen: list[Tag] = (), values: int = VALUES) -> DataFrame:
     """namespace, n_values, covered, matched, score_key, coverage_key, best axis first. An axis' score is the entropy, in bits, of its first `values` values, the rest of its assignments as one, and the files without it, over all of these; axes that no value narrows are left out."""
-    placed = _placed(selected, chosen)
-    shown = F.col("place") <= values
-    sums = placed.groupBy("namespace", "matched").agg(
-        F.count("*").alias("n_values"),
-        F.sum(F.when(shown, 0).otherwise(F.col("n_files"))).alias("tail"),
-        F.sum("n_files").alias("assigned"),
-        F.sort_array(F.collect_list(F.when(shown, F.col("n_files")))).alias("tops"),  # at most `values` entries
-    )
-    sums = sums.join(namespace_coverage(selected), "namespace")
+    offered = _offered(selected, chosen)
+    sums = offered.groupBy("namespace", "matched").agg(F.count("*").alias("n_values"), F.sum("n_files").alias("assigned"))
+    tops = _placed(offered, values).groupBy("namespace").agg(F.sort_array(F.collect_list("n_files")).alias("tops"), F.sum("n_files").alias("shown"))  # at most `values` entries
+    sums = sums.join(tops, "namespace").withColumn("tail", F.col("assigned") - F.col("shown")).join(namespace_coverage(selected), "namespace")
     residue = F.greatest(F.col("matched") - F.col("assigned"), F.lit(0))
     whole = (F.col("assigned") + residue).cast("double")
     every = F.concat(F.col("tops"), F.array("tail"), F.array(residue))
@@ -69,9 +67,15 @@ def axes(selected: DataFrame, chosen: list[Tag] = (), values: int = VALUES) -> D
     return out.orderBy(F.desc("score_key"), F.desc("coverage_key"), F.desc("n_values"), "namespace")
 
 
+def multi_valued(selected: DataFrame) -> DataFrame:
+    """namespace, multi: whether some file has several values of it, so that shares add up to more than the whole."""
+    n = selected.groupBy("namespace").agg(F.count("*").alias("n"))
+    return n.join(namespace_coverage(selected), "namespace").select("namespace", (F.col("n") > F.col("covered")).alias("multi"))
+
+
 def axis_values(selected: DataFrame, chosen: list[Tag] = (), values: int = VALUES) -> DataFrame:
     """namespace, value, n_files, place: each axis' first values."""
-    return _placed(selected, chosen).where(F.col("place") <= values).select("namespace", "value", "n_files", "place").orderBy("namespace", "place")
+    return _placed(_offered(selected, chosen), values).select("namespace", "value", "n_files", "place").orderBy("namespace", "place")
 
 
 def universal(selected: DataFrame, chosen: list[Tag] = ()) -> DataFrame:
@@ -94,7 +98,7 @@ def label(tagged: DataFrame, selected: DataFrame, chosen: list[Tag] = (), terms:
 def recommended(selected: DataFrame, chosen: list[Tag] = (), n_axes: int = AXES, values: int = VALUES) -> DataFrame:
     """The one shown value whose choice tells most: most bits, then fewer files, then the smaller tag."""
     shown = axes(selected, chosen, values).limit(n_axes).select("namespace")
-    rows = _placed(selected, chosen).where(F.col("place") <= values).join(shown, "namespace", "left_semi")
+    rows = _placed(_offered(selected, chosen), values).join(shown, "namespace", "left_semi")
     rows = rows.withColumn("bits_key", ranking.rank_key(ranking.step_bits(F.col("n_files"), F.col("matched"))))
     return rows.select("namespace", "value", "n_files", "bits_key").orderBy(F.desc("bits_key"), "n_files", "namespace", "value").limit(1)
 
@@ -115,9 +119,10 @@ class View:
     label: list
     recommended: Tag | None
     preview: list[int]
+    multi: list[str]
 
 
-def browse(tagged: DataFrame, chosen: list[Tag] = (), n_axes: int = AXES, values: int = VALUES) -> View:
+def browse(tagged: DataFrame, chosen: list[Tag] = (), n_axes: int = AXES, values: int = VALUES, label_terms: int = LABEL_TERMS, files: int = PREVIEW) -> View:
     """A whole view. The selection is kept while its parts are taken."""
     chosen = list(dict.fromkeys(chosen))
     s = selection(tagged, chosen).persist()
@@ -128,9 +133,10 @@ def browse(tagged: DataFrame, chosen: list[Tag] = (), n_axes: int = AXES, values
         return View(
             chosen, matched(s).first().matched, shown,
             axis_values(s, chosen, values).where(F.col("namespace").isin(names)).collect() if names else [],
-            [(u.namespace, u.value) for u in universal(s, chosen).limit(64).collect()],
-            [(t.namespace, t.value) for t in label(tagged, s, chosen).collect()],
-            (step.namespace, step.value) if step else None, [r.file_id for r in preview(s).collect()],
+            [(u.namespace, u.value) for u in universal(s, chosen).limit(UNIVERSAL).collect()],
+            [(t.namespace, t.value) for t in label(tagged, s, chosen, label_terms).collect()],
+            (step.namespace, step.value) if step else None, [r.file_id for r in preview(s, files).collect()],
+            sorted(r.namespace for r in multi_valued(s).where(F.col("namespace").isin(names)).where("multi").collect()) if names else [],
         )
     finally:
         s.unpersist()

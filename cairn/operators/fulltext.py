@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.plans.search import Clauses, LiveTerms, Terms, parse
@@ -35,14 +35,56 @@ def token_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs")).join(F.broadcast(sums))  # one row
 
 
+@dataclass
+class TextIndex:
+    """postings: term, file_id, tf, dl (words of the document), positions (ascending); terms: term, df, n; corpus: one row of n (documents) and avgdl. Kept in order of term (see in_order), a query reads the parts of its words alone."""
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """term, file_id, tf, positions (ascending). One row for each word of each document, so a common word is spread over its documents."""
-    t = docs.select("file_id", F.posexplode(tokens(F.col("body"))).alias("pos", "term"))
-    return t.groupBy("term", "file_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """term, file_id, tf, dl, positions. One row for each word of each document, so a common word is spread over its documents."""
+    # The words stand behind a generator, so that they are cut once.
+    t = docs.select("file_id", F.explode(F.array(tokens(F.col("body")))).alias("t"))
+    t = t.select("file_id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    return t.groupBy("term", "file_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Postings by ranges of term and document, for files whose statistics tell the terms; a word in many documents takes several ranges."""
+    return rows.repartitionByRange("term", "file_id").sortWithinPartitions("term", "file_id")
+
+
+def term_counts(index: DataFrame) -> DataFrame:
+    """term, df, n of postings."""
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """term, df, n of documents, without postings: words are counted before they are shuffled."""
+    t = docs.select("file_id", F.explode(tokens(F.col("body"))).alias("term"))
+    return t.groupBy("term", "file_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("file_id", F.size(tokens(F.col("body"))).cast("long").alias("dl"))
+def corpus_row(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """n, avgdl: documents, and their mean number of words."""
+    words = terms.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    return docs.agg(F.count("*").alias("n")).join(F.broadcast(words)).select("n", F.try_divide(F.col("words").cast("double"), F.col("n").cast("double")).alias("avgdl"))  # one row
+
+
+def build(docs: DataFrame) -> TextIndex:
+    """The index of documents (file_id, body), not kept."""
+    p = postings(docs)
+    terms = term_counts(p)
+    return TextIndex(p, terms, corpus_row(docs, terms))
+
+
+def updated(index: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """Postings after a change: without those of the documents in `gone` (file_id) and in docs, with docs' own. Documents that did not change are not read again."""
+    out = gone.select("file_id").unionByName(docs.select("file_id"))
+    return index.join(out, "file_id", "left_anti").unionByName(postings(docs))
 
 
 def _words(tree: Terms | Clauses) -> set[str]:
@@ -85,20 +127,29 @@ def _holds(tree: Terms | Clauses, at: Column) -> Column:
     return out
 
 
-def search(index: DataFrame, dl: DataFrame, query: str, limit: int | None = 10) -> DataFrame:
-    """file_id, score, best first, ties by file_id. Only postings of the query's words are read, and meet once by document; scores are BM25 over exact lengths, to six digits. Counts of documents per word and the mean length are single rows."""
+def _phrase_words(tree: Terms | Clauses) -> set[str]:
+    if isinstance(tree, Terms):
+        return set(tree.words) if len(tree.words) > 1 else set()
+    return set().union(*(_phrase_words(p) for _, p in tree.parts))
+
+
+def search(index: TextIndex, query: str, limit: int | None = 10) -> DataFrame:
+    """file_id, score: the best `limit` in order, ties by file_id, or all without order. Only postings and counts of the query's words are read, positions only of words in phrases, and postings meet once by document; scores are BM25 over exact lengths, to six digits. Counts of documents per word and the corpus are at most a row for each word of the query."""
     tree = parse(query)
-    hits = index.where(F.col("term").isin(sorted(_words(tree))))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most the query's words
-    corpus = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    words, phrases = sorted(_words(tree)), sorted(_phrase_words(tree))
+    asked = F.col("term").isin(words)
+    df = index.terms.where(asked).select("term", "df")
     scored = F.col("term").isin(sorted(_scored_words(tree)))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = hits.join(F.broadcast(df), "term").join(F.broadcast(corpus)).join(dl, "file_id")
+    nowhere = F.array().cast("array<int>")
+    positions = F.when(F.col("term").isin(phrases), F.col("positions")).otherwise(nowhere) if phrases else nowhere
+    rows = index.postings.where(asked).select("term", "file_id", "tf", "dl", positions.alias("positions"))
+    rows = rows.join(F.broadcast(df), "term").join(F.broadcast(index.corpus.select("n", "avgdl")))
     rows = rows.withColumn("part", F.when(scored, idf * tf).otherwise(F.lit(0.0)))
     docs = rows.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.sum("part").alias("total"))
-    out = docs.where(_holds(tree, F.col("at"))).select("file_id", F.round("total", 6).alias("score")).orderBy(F.desc("score"), "file_id")
-    return out if limit is None else out.limit(limit)
+    out = docs.where(_holds(tree, F.col("at"))).select("file_id", F.round("total", 6).alias("score"))
+    return out if limit is None else out.orderBy(F.desc("score"), "file_id").limit(limit)
 
 
 def resolve(hits: DataFrame, files: DataFrame) -> DataFrame:
@@ -180,11 +231,6 @@ def recall_precision(found: DataFrame, truth: DataFrame) -> DataFrame:
     return sums.withColumn("recall", share("n_both", "n_true")).withColumn("precision", share("n_both", "n_found"))
 
 
-def top_terms(index: DataFrame, limit: int = 20) -> DataFrame:
-    """term, df, n: the words in most documents."""
-    out = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
-    return out.orderBy(F.desc("df"), F.desc("n"), "term").limit(limit)
-
-
-def ranked(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "path")))
+def top_terms(counts: DataFrame, limit: int = 20) -> DataFrame:
+    """term, df, n: the words in most documents, from term_counts() or word_counts()."""
+    return counts.orderBy(F.desc("df"), F.desc("n"), "term").limit(limit)

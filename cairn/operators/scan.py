@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from cairn.functions import fixed, formats, paths
 
 
+#: The attribute of hidden files.
+HIDDEN = 2
+
+
 def live(files: DataFrame) -> DataFrame:
     return files.where(F.col("deleted_at").isNull())
 
@@ -44,15 +48,21 @@ def tombstones(stored: DataFrame, classified: DataFrame, generation: int) -> Dat
     return live(stored).join(seen, "file_id", "left_anti").withColumn("deleted_at", F.lit(generation).cast("long"))
 
 
+def mark_deleted(files: DataFrame, file_id: int, generation: int) -> DataFrame:
+    """The files table with one file dead since a generation; one that is dead already stays as it is."""
+    dies = (F.col("file_id") == file_id) & F.col("deleted_at").isNull()
+    return files.withColumn("deleted_at", F.when(dies, F.lit(generation).cast("long")).otherwise(F.col("deleted_at")))
+
+
 def ledger(classified: DataFrame, gone: DataFrame) -> DataFrame:
     """class, n of a rescan, with deleted."""
     rows = classified.select("class").unionByName(gone.select(F.lit("deleted").alias("class")))
     return rows.groupBy("class").agg(F.count("*").alias("n"))
 
 
-def apply_rescan(found: DataFrame, stored: DataFrame, generation: int, first_new_id: int) -> DataFrame:
-    """The files table after a rescan. Unchanged and renamed files keep their hashes, changed ones lose them; new ids follow first_new_id in steps that need no single order (unique, not dense)."""
-    c = classify(found, stored)
+def apply_rescan(found: DataFrame, stored: DataFrame, generation: int, first_new_id: int, classified: DataFrame | None = None) -> DataFrame:
+    """The files table after a rescan; `classified` is what classify() gave, if it is kept. Unchanged and renamed files keep their hashes, changed ones lose them; new ids follow first_new_id in steps that need no single order (unique, not dense)."""
+    c = classify(found, stored) if classified is None else classified
     both = c.join(found, "path").join(stored.select("file_id", "magic", "content_hash", F.col("ext").alias("o_ext")), "file_id", "left")
     keeps = F.col("class").isin("unchanged", "renamed")
     kept = both.withColumn("file_id", F.coalesce("file_id", F.lit(first_new_id) + F.monotonically_increasing_id())).select(
@@ -64,8 +74,8 @@ def apply_rescan(found: DataFrame, stored: DataFrame, generation: int, first_new
     return kept.unionByName(tombstones(stored, c, generation).select(*kept.columns)).unionByName(dead.select(*kept.columns))
 
 
-def exclusion(rel: Column, path: Column, names: list[str] = tuple(fixed.EXCLUDED_NAMES), prefixes: list[str] = tuple(fixed.EXCLUDED_PREFIXES), ignored: list[str] = ()) -> Column:
-    """Why an entry is left out: name:<directory>, prefix:<path>, gitignore, or null. The nearest named directory counts; .cargo counts above registry alone; names and ignore patterns concern directories."""
+def exclusion(rel: Column, path: Column, names: list[str] = tuple(fixed.EXCLUDED_NAMES), prefixes: list[str] = tuple(fixed.EXCLUDED_PREFIXES), ignored: list[str] = (), attributes: Column | None = None, own: str | None = None) -> Column:
+    """Why an entry is left out: name:<directory>, prefix:<path>, gitignore, hidden (by its file attributes, if they are given: where the system has such), store (below the engine's own folder), or null. The nearest named directory counts; .cargo counts above registry alone; names and ignore patterns concern directories."""
     dirs = paths.ancestors(rel)
     low = F.transform(dirs, F.lower)
     plain = [n.lower() for n in names if n.lower() != ".cargo"]
@@ -78,6 +88,10 @@ def exclusion(rel: Column, path: Column, names: list[str] = tuple(fixed.EXCLUDED
     if ignored:
         any_of = "|".join(f"(?:{r})" for r in ignored)
         out = out.when(F.exists(dirs, lambda d: d.rlike(any_of)), F.lit("gitignore"))
+    if attributes is not None:
+        out = out.when(attributes.bitwiseAND(F.lit(HIDDEN)) != 0, F.lit("hidden"))
+    if own:
+        out = out.when(paths.is_under(path, own), F.lit("store"))
     return out
 
 

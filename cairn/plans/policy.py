@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tomllib
 from dataclasses import dataclass, field
 
 from cairn.functions import fixed
@@ -81,6 +82,15 @@ class TextPolicy:
         known = [e.strip().lstrip(".").lower() for e in exts]
         return TextPolicy(tuple(dict.fromkeys([*self.text, *known])), self.binary)
 
+    @classmethod
+    def from_config(cls, text: str) -> TextPolicy:
+        """The part [text] of a configuration: the lists `text` and `binary`."""
+        found = tomllib.loads(text).get("text", {}) if text else {}
+        if unknown := set(found) - {"text", "binary"}:
+            raise ValueError(f"text: unknown keys {sorted(unknown)}")
+        listed = lambda key: tuple(dict.fromkeys(e.strip().lstrip(".").lower() for e in found.get(key, [])))
+        return cls(listed("text"), listed("binary"))
+
     def verdict(self, ext: str | None) -> str:
         e = (ext or "").lower()
         for verdict, words in (("text", self.text), ("binary", self.binary), ("text", fixed.TEXT_EXTS), ("extract", fixed.BODY_EXTS), ("binary", fixed.BINARY_EXTS)):
@@ -147,6 +157,28 @@ class Marker:
         return None
 
 
+def source_for(marker: Marker | None, has_journal: bool, forced: str | None = None) -> str:
+    """Where changes are looked for: mtime (a walk), usn (a journal), or none. A marker of a journal is of no use where there is none; `forced` is what the user asks for."""
+    if forced == "mtime":
+        return "mtime"
+    if forced not in (None, "", "usn"):
+        raise ValueError(f"unknown change source {forced!r}")
+    if marker is None:
+        return "none"
+    return "usn" if marker.kind == "usn" and has_journal else "mtime"
+
+
+def journal_probe(asked: bool, marker: Marker | None, has_journal: bool) -> tuple[bool, str | None]:
+    """(whether the journal's state is to be read, why not)."""
+    if not asked:
+        return False, "not requested (--check-journal)"
+    if not has_journal:
+        return False, "this system has no change journal"
+    if marker is None:
+        return False, "no marker of the last scan"
+    return (True, None) if marker.kind == "usn" else (False, "the last scan's marker is a time")
+
+
 def stale_notice(policy_error: str | None, marker: Marker | None, merging: bool, status: str) -> str | None:
     """Why an answer may be out of date, the gravest reason first; None if it is fresh."""
     if policy_error:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from cairn.functions import fixed, formats, names, paths, ranking
 from cairn.operators import browse, fresh, fulltext, scan, tags
 from cairn.plans.rules import Rule
 from cairn.plans.search import live_terms, parse
+from cairn.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,10 +128,12 @@ def find_paths(spark, d):
     return scan.find_paths(A.document_files(spark, d), "SRC1/")
 
 
-@query(f"WITH {FILES} SELECT file_id, path FROM files WHERE contains(path, '%') OR contains(path, 'doc_1')")
+@query(f"WITH {FILES}, w AS (SELECT file_id, CASE WHEN file_id % 9 = 0 THEN replace(path, 'doc-1', 'doc_1') WHEN file_id % 9 = 1 THEN replace(path, '.txt', ' 100%.txt') ELSE path END AS path FROM files) SELECT file_id, path FROM w WHERE contains(path, '0%.') OR contains(path, 'doc_1')")
 def find_paths_literal_wildcards(spark, d):
-    f = A.document_files(spark, d)
-    return scan.find_paths(f, "%", None).unionByName(scan.find_paths(f, "doc_1", None))
+    """Paths with % and _ among many that these would match as wildcards."""
+    f, k = A.document_files(spark, d), F.col("file_id") % 9
+    f = f.withColumn("path", F.when(k == 0, F.replace("path", F.lit("doc-1"), F.lit("doc_1"))).when(k == 1, F.replace("path", F.lit(".txt"), F.lit(" 100%.txt"))).otherwise(F.col("path")))
+    return scan.find_paths(f, "0%.", None).unionByName(scan.find_paths(f, "doc_1", None))
 
 
 @query(f"WITH {FILES} SELECT file_id, path FROM files WHERE file_id > 100 ORDER BY file_id LIMIT 50")
@@ -442,10 +446,11 @@ t AS (SELECT DISTINCT file_id, value, CASE WHEN length(value) % 5 = 0 THEN 'topi
 r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN sources = 16 THEN 0 WHEN namespace = 'topic' THEN 1 WHEN namespace = 'kind' THEN 2 ELSE 3 END, namespace, value) AS place FROM t)
 SELECT file_id, namespace, CAST(count_if(place <= 64) AS BIGINT) AS n_kept, CAST(count_if(place > 64) AS BIGINT) AS n_dropped FROM r GROUP BY ALL""")
 def tag_cap(spark, d):
-    w = A.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.explode(F.split("text", "[^A-Za-z]+")).alias("value")).withColumn("value", F.lower("value"))
+    words = F.array_distinct(F.transform(F.split("text", "[^A-Za-z]+"), F.lower))
+    w = A.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.explode(words).alias("value"))
     n = F.length("value")
     namespace = F.when(n % 5 == 0, F.lit("topic")).when(n % 5 == 1, F.lit("kind")).otherwise(F.lit("path"))
-    t = w.where(n.between(1, 128)).withColumn("namespace", namespace).withColumn("sources", F.when(n % 7 == 0, 16).otherwise(1)).distinct()
+    t = w.where(n.between(1, 128)).withColumn("namespace", namespace).withColumn("sources", F.when(n % 7 == 0, 16).otherwise(1))
     ranked = tags.ranked_for_cap(t)
     return ranked.groupBy("file_id", "namespace").agg(F.count_if(F.col("place") <= 64).alias("n_kept"), F.count_if(F.col("place") > 64).alias("n_dropped"))
 
@@ -507,9 +512,12 @@ def browse_preview(spark, d):
 # --- full text -----------------------------------------------------------------------------------------------------------
 
 
+def _index(spark, d):
+    return shared.kept_index(spark, f"{d}/documents.parquet", A.bodies(spark, d))
+
+
 def _search(spark, d, text, limit=10):
-    b = A.bodies(spark, d)
-    return fulltext.search(fulltext.postings(b), fulltext.lengths(b), text, limit)
+    return fulltext.search(_index(spark, d), text, limit)
 
 
 @query(f"WITH {POSTINGS} SELECT (SELECT count(*) FROM documents) AS n_docs, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, max(length(term)) AS longest FROM tok")
@@ -519,7 +527,22 @@ def tokenize_stats(spark, d):
 
 @query(f"WITH {POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY term ORDER BY df DESC, n DESC, term LIMIT 20")
 def postings_top_terms(spark, d):
-    return fulltext.top_terms(fulltext.postings(A.bodies(spark, d)))
+    return fulltext.top_terms(_index(spark, d).terms)
+
+
+@query(f"WITH {POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY term ORDER BY df DESC, n DESC, term LIMIT 20")
+def word_top_terms(spark, d):
+    """The same from the texts, without an index."""
+    return fulltext.top_terms(fulltext.word_counts(A.bodies(spark, d)))
+
+
+@query(f"WITH {POSTINGS} SELECT length(term) AS letters, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS places FROM (SELECT term, file_id, count(*) AS tf, sum(pos) AS p FROM tok GROUP BY ALL) GROUP BY ALL")
+def index_build(spark, d):
+    """A new index, written whole and read back: its postings by length of word."""
+    path = f"{shared.shared_folder(spark)}/cairn-index/{uuid.uuid4().hex}"
+    shared.write_index(A.bodies(spark, d), path)
+    rows = shared.read_index(spark, path).postings.withColumn("p", F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x))
+    return rows.groupBy(F.length("term").alias("letters")).agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n"), F.sum("p").alias("places"))
 
 
 @query(_bm25(["the", "tion"], "true"))

@@ -1,7 +1,6 @@
 """Bodies and embedded metadata of office documents and pictures.
 
-A parser that fails costs its own file only, which gets an error. PDF needs a library that is not part of this
-engine: such files are counted as unsupported. Bodies are cut at a bound, whole characters.
+A parser that fails costs its own file only, which gets an error. Bodies are cut at a bound, whole characters.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.sources.pdf import Pdf
+
 MAX_INFLATED = 16
 MAX_BODY_CHARS = 2 << 20
 SCHEMA = "body string, authors array<string>, title string, camera string, date string, error string"
@@ -137,15 +138,18 @@ def _one(data: bytes | None, ext: str | None) -> dict:
         elif ext in ("jpg", "jpeg", "tif", "tiff"):
             out |= exif(data)
         elif ext == "pdf":
-            out["error"] = "unsupported"
+            file = Pdf(data)
+            info = file.info()
+            out["body"] = file.text()[:MAX_BODY_CHARS]
+            out |= {"authors": [a] if (a := _clean(info.get("Author"))) else [], "title": _clean(info.get("Title")), "date": info.get("CreationDate")}
     except Exception as e:  # a parser's failure is a fact about the file
         out["error"] = f"{type(e).__name__}: {e}"[:200]
     return out
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """files (with ext and content) with body, authors, title, camera, date and error; null content is an error row."""
-    keep = [c for c in files.columns if c != "content"]
+def extract(files: DataFrame, with_content: bool = False) -> DataFrame:
+    """files (with ext and content) with body, authors, title, camera, date and error; null content is an error row. The content goes, unless it is wanted beside what was found in it."""
+    keep = [c for c in files.columns if with_content or c != "content"]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

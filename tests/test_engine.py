@@ -5,7 +5,7 @@ import time
 import pytest
 
 from cairn.engine import Engine
-from cairn.plans.policy import ExcludePolicy
+from cairn.plans.policy import ExcludePolicy, ignore_patterns
 from cairn.report import Outcome, event, next_command, next_step_reason, share_pct, status_warnings
 
 
@@ -36,7 +36,7 @@ def test_commands(engine):
     assert {os.path.basename(r.path) for r in found.rows} == {"invoice-2024-03-15_v2.txt", "notes.md"} and all("hello" in r.snippet for r in found.rows) and found.notice
     assert e.search("nothinglikeit", fresh_answer=False).outcome == Outcome.EMPTY
     assert e.tag('[[tags.rule]]\npath = "clients/**"\ntags = "area:clients"\n').outcome == Outcome.ANSWER
-    assert {r.path.rsplit("/", 1)[-1] for r in e.tags(["area:clients", "version:final"]).rows} == {"plan_final.txt"}
+    assert {r["path"].rsplit("/", 1)[-1] for r in e.tags(["area:clients", "version:final"]).rows} == {"plan_final.txt"}
     assert [r.value for r in e.tags(["version:"]).rows] == ["final", "v2"]
     explained = e.explain(str(root / "clients/beta/plan_final.txt"))
     assert explained.rows and all(r.stored == r.now for r in explained.rows)
@@ -65,6 +65,52 @@ def test_fresh_answers(engine):
     assert {os.path.basename(r.path) for r in e.find("clients").rows} == names
 
 
+def test_layers_and_probes(spark, tmp_path):
+    root = tmp_path / "r"
+    _write(root, {"a/one.txt": "alpha beta", "bb/two.txt": "alpha gamma", "out/three.txt": "alpha", ".gitignore": "out/\n"})
+    e = Engine(spark, str(root / "db"))
+    got = e.index(str(root), ExcludePolicy.build(ignored=ignore_patterns("out/"), defaults=False))
+    assert got.report["gitignore"] == 1 and got.report["indexed"] == 3
+    e.fulltext()
+    e.tag()
+    assert e.browse([]).report["behind"] == 0
+    e.hash()
+    assert e.browse([], fresh_answer=False).report["behind"] == 0  # a commit is no scan
+    again = e.index(str(root), ExcludePolicy.build(ignored=ignore_patterns("out/"), defaults=False))
+    assert again.report["store"] > 0 and again.report["unchanged"] == 3 and e.browse([], fresh_answer=False).report["behind"] == 1
+    assert e.search_index("alpha").notice and len(e.search_index("alpha").rows) == 2
+    late = time.time_ns() + 10**10
+    _write(root, {"a/one.txt": "delta"})
+    os.utime(root / "a/one.txt", ns=(late, late))
+    (root / "bb/two.txt").unlink()
+    time.sleep(1.1)  # the change set is kept for a second
+    assert "2 files have changed" in e.browse([]).notice and "2 files" in e.tags([]).notice
+    assert [r["there"] for r in e.tags(["ext:txt", "path:bb"], fresh_answer=False).rows] == [False]
+    assert e.refresh().report["touched"] == 2
+    assert [os.path.basename(r.path) for r in e.search_index("delta").rows] == ["one.txt"] and e.search_index("gamma").outcome == Outcome.EMPTY
+    told = e.status(check_journal=True).report["journal"]
+    assert told == {"checked": False, "reason": "this system has no change journal"}
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from cairn.__main__ import main
+
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    _write(tmp_path / "r", {"notes/a.txt": "hello", "notes/b.log": "hello log"})
+    (tmp_path / "cairn.toml").write_text('[text]\nbinary = ["log"]\n[[tags.rule]]\npath = "notes/**"\ntags = "area:notes"\n')
+    monkeypatch.chdir(tmp_path)
+    db = ["--db", str(tmp_path / "db")]
+    assert main([*db, "index", str(tmp_path / "r"), "--use-gitignore", "--skip-hidden"]) == 0
+    assert main([*db, "fulltext"]) == 0 and main([*db, "tag", "--no-read-embedded", "--magic-max-size", "100"]) == 0
+    assert main([*db, "search", "hello", "--no-fresh", "-n", "5", "--snippet-chars", "40"]) == 0
+    assert main([*db, "search", "log", "--no-db"]) == 1
+    assert main([*db, "browse", "--axes", "2", "--values", "3", "--label-terms", "1", "--files", "1", "--no-fresh"]) == 0
+    assert main([*db, "tags", "area:notes", "--no-fresh"]) == 0 and main([*db, "status", "--check-journal"]) == 0
+    assert main([*db, "find", "zzz", "--delta-limit", "5"]) == 1 and main([*db, "tag", "--config", "missing.toml"]) == 2
+    events = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
+    assert {x["event"] for x in events} >= {"index_summary", "fulltext_summary", "search", "browse_summary", "tags", "status_summary"}
+
+
 def test_report_helpers():
     assert [share_pct(*x) for x in ((0, 5), (1, 500), (5, 5), (1, 0))] == ["0%", "<1%", "100%", "0%"]
     assert next_command([("a", "b c")], ("d", "e"), {"axes": 2}) == "browse 'a:b c' d:e --axes 2"
