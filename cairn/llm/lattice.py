@@ -12,6 +12,7 @@ smallest id is looked for (the component of null ids alone is null). Extra colum
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations, product
 
@@ -32,6 +33,8 @@ PROBES = 1
 SCALE = 0.6
 SEED = 20_011
 THRESHOLD = 0.95
+#: Vectors hashed at once.
+BLOCK = 4096
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,34 +94,50 @@ def lattice_cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, sca
     return np.stack(out, axis=1)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, unit (the vector over its length as doubles; null where it takes no part)."""
-    for batch in batches:
-        unit: list[bytes | None] = [None] * batch.num_rows
-        for rows, x in matrices(batch.column(1)):
-            top = np.abs(x).max(axis=1)
-            keep = top > 0
-            z = x[keep] / top[keep][:, None]
-            z /= np.linalg.norm(z, axis=1)[:, None]
-            for r, v in zip(rows[keep], z + 0.0, strict=True):
-                unit[r] = v.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(unit, pa.binary())], ["vec_id", "unit"])
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        units = batch.column(1)
-        sizes = pc.binary_length(units).to_numpy()
-        found: list[list[int]] = [[]] * batch.num_rows
-        for n in np.unique(sizes):
-            rows = np.flatnonzero(sizes == n)
-            got = lattice_cells(np.stack([np.frombuffer(units[int(r)].as_py()) for r in rows]))
-            for r, c in zip(rows, got, strict=True):
-                found[r] = np.unique(c).tolist()
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
-
-
-def _verified(threshold: float):
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows over their lengths, in doubles; rows of zeros stay."""
+    top = np.abs(x).max(axis=1)
+    z = x / np.where(top > 0, top, 1)[:, None]
+    return z / np.maximum(np.linalg.norm(z, axis=1), np.finfo(float).tiny)[:, None] + 0.0
+
+
+def _vectors(kind: str):
+    """vec_id, vector (the components as they are given, in bytes; null where it takes no part), same (equal for vectors of one direction)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vector: list[bytes | None] = [None] * batch.num_rows
+            same: list[bytes | None] = [None] * batch.num_rows
+            for rows, x in matrices(batch.column(1)):
+                some = x.any(axis=1)
+                for r, v, u in zip(rows[some], x[some].astype(kind), unit_rows(x[some]), strict=True):
+                    vector[r], same[r] = v.tobytes(), hashlib.blake2b(u.tobytes(), digest_size=16).digest()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vector, pa.binary()), pa.array(same, pa.binary())], ["vec_id", "vector", "same"])
+
+    return work
+
+
+def _hashed(kind: str):
+    """Adds the cells of each vector."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("vector")
+            sizes = pc.binary_length(vectors).to_numpy()
+            found: list[list[int]] = [[]] * batch.num_rows
+            for n in np.unique(sizes):
+                rows = np.flatnonzero(sizes == n)
+                for k in range(0, len(rows), BLOCK):
+                    some = rows[k : k + BLOCK]
+                    got = lattice_cells(unit_rows(np.stack([np.frombuffer(vectors[int(r)].as_py(), kind) for r in some]).astype(float)))
+                    for r, c in zip(some, got, strict=True):
+                        found[r] = np.unique(c).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
+
+    return work
+
+
+def _verified(threshold: float, kind: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[], [], []]
         for g in cells.each_group(batches):
@@ -126,15 +145,17 @@ def _verified(threshold: float):
                 continue
             cell, i, j = (g.column(k)[0].as_py() for k in cells.KEYS)
             block, member, n = (g.column(k).to_numpy() for k in ("block", "member", "n"))
-            x = cells.fixed_width(g.column("unit"), "f8")
+            x = unit_rows(cells.fixed_width(g.column("vector"), kind).astype(float))
             linked = np.triu(x @ x.T >= threshold, 1)
             if i != j:
                 linked &= block[:, None] != block[None, :]
             a, b = np.nonzero(linked)
             if not len(a):
                 continue
-            width = cells_width(g)
-            keep = owned_pairs(cell, width, a, b)
+            # The cells of members with links are found again here: they travel with each member's vector less often than they would with its cells.
+            some = np.unique(np.r_[a, b])
+            width = lattice_cells(x[some])
+            keep = owned_pairs(cell, width, np.searchsorted(some, a), np.searchsorted(some, b))
             links = np.zeros(len(member), np.int64)
             np.add.at(links, a[keep], n[b[keep]])
             np.add.at(links, b[keep], n[a[keep]])
@@ -159,13 +180,6 @@ def _verified(threshold: float):
     return work
 
 
-def cells_width(g: pa.Table) -> np.ndarray:
-    """The members' cells as a matrix, short rows filled with their first cell."""
-    rows = g.column("cells").to_pylist()
-    most = max(map(len, rows))
-    return np.array([r + r[:1] * (most - len(r)) for r in rows], np.int64)
-
-
 def owned_pairs(cell: int, width: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros(len(a), bool)
     for k in range(0, len(a), 20_000):
@@ -176,23 +190,23 @@ def owned_pairs(cell: int, width: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    units = rows.mapInArrow(_units, "vec_id bigint, unit binary")
-    units = materialize(units.withColumn("same", F.unhex(F.md5("unit"))), "lattice-units")
-    classes = units.where("unit is not null").groupBy("same").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("unit").alias("unit"))
+    kind = "f4" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
+    units = materialize(rows.mapInArrow(_vectors(kind), "vec_id bigint, vector binary, same binary"), "lattice-vectors")
+    classes = units.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     # Ids may be null or repeated; classes have numbers of their own, written once so that they hold for all steps.
-    classes = classes.select(F.monotonically_increasing_id().alias("member"), "unit", "n", "same", "least")
-    hashed = classes.mapInArrow(_hashed, "member bigint, unit binary, n bigint, same binary, least bigint, cells array<bigint>")
+    classes = classes.select(F.monotonically_increasing_id().alias("member"), "vector", "n", "same", "least")
+    hashed = classes.mapInArrow(_hashed(kind), "member bigint, vector binary, n bigint, same binary, least bigint, cells array<bigint>")
     hashed = materialize(hashed, "lattice-cells")
     light = hashed.select("member", F.explode("cells").alias("cell"))
-    met = cells.groups(light, cells.crowded(light)).join(hashed.select("member", "unit", "n", "cells"), "member")
-    met = cells.dealt(met.select("cell", "i", "j", "block", "member", "n", "unit", "cells"))
-    found = materialize(met.mapInArrow(_verified(threshold), "member bigint, links bigint, root bigint"), "lattice-links")
+    met = cells.groups(light, cells.crowded(light)).join(hashed.select("member", "vector", "n"), "member")
+    met = cells.dealt(met.select("cell", "i", "j", "block", "member", "n", "vector"))
+    found = materialize(met.mapInArrow(_verified(threshold, kind), "member bigint, links bigint, root bigint"), "lattice-links")
     links = found.groupBy("member").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("member != root").select(F.col("member").alias("a"), F.col("root").alias("b")))
     known = hashed.select("same", "member", "n", "least").join(links, "member", "left").join(parts.withColumnRenamed("node", "member"), "member", "left")
     known = known.select("same", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "member").alias("component"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(least, "component").select("same", "n_links", "component_id")
-    out = units.select("vec_id", "same", F.col("unit").isNull().alias("alone")).join(known, "same", "left")
+    out = units.select("vec_id", "same", F.col("same").isNull().alias("alone")).join(known, "same", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("alone"), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
