@@ -1,7 +1,9 @@
 """Members of hash cells compared block by block: what candidate search by locality-sensitive cells shares.
 
 A cell of up to BLOCK members is one group. A larger one is dealt into blocks, and every pair of blocks is a group of its own, so no task
-holds more than two blocks however many rows share a cell, and no pair is left out.
+holds more than two blocks however many rows share a cell, and no pair is left out. Where only pairs of different
+components matter, the blocks of all members meet only blocks of those outside the cell's largest component: a crowd that is one
+component already costs a row for each member, and not one for each pair of blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Weight of a block at most (about), where members have weights: bytes of what is compared.
+BLOCK_BYTES = 32 << 20
 KEYS = ("cell", "i", "j")
 
 
@@ -30,6 +34,25 @@ def groups(light: DataFrame, sizes: DataFrame) -> DataFrame:
     return d.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "member")
 
 
+def groups_across(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cell, i, j, block, member, component as groups() has them, for pairs of different components; labelled: cell, member, component; sizes: cell, n, bytes."""
+    s = sizes.select("cell", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+    zero = F.lit(0).cast("long")
+    rows = labelled.join(s, "cell").select("cell", "member", "component", "blocks")
+    small = rows.where("blocks <= 1").select("cell", zero.alias("i"), zero.alias("j"), zero.alias("block"), "member", "component")
+    large = rows.where("blocks > 1")
+    per = large.groupBy("cell", "component", "blocks").agg(F.count("*").alias("c"))
+    most = per.groupBy("cell", "blocks").agg(F.max_by("component", F.struct("c", "component")).alias("crowd"), F.max("c").alias("c"), F.sum("c").alias("n"))
+    others = F.greatest(F.ceil((F.col("n") - F.col("c")) * F.col("blocks") / F.col("n")), F.lit(1)).cast("long")
+    large = large.join(most.select("cell", "crowd", others.alias("minor")), "cell")
+    mine = F.pmod(F.xxhash64("member", F.lit(17)), F.col("blocks"))
+    upto = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
+    all_of = large.withColumn("i", mine).withColumn("k", upto("minor")).select("cell", "i", (-1 - F.col("k")).alias("j"), F.col("i").alias("block"), "member", "component")
+    few = large.where("component != crowd").withColumn("k", F.pmod(F.xxhash64("member", F.lit(29)), F.col("minor"))).withColumn("i", upto("blocks"))
+    few = few.select("cell", "i", (-1 - F.col("k")).alias("j"), (-1 - F.col("k")).alias("block"), "member", "component")
+    return small.unionByName(all_of).unionByName(few)
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows with all of a group in one partition, one group after another."""
     return rows.repartition(*KEYS).sortWithinPartitions(*KEYS)

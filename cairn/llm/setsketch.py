@@ -40,6 +40,8 @@ SLACK = 12.5
 REGISTERS = BANDS * ROWS
 #: Turns in which each member of a cell with several components is compared with one member of another, before all likely pairs of different components are.
 TURNS = 1
+#: Bytes that a shingle of a text takes where full sets are compared, with its words (about).
+SHINGLE_BYTES = 24
 #: Shingles sketched at once.
 AT_ONCE = 200_000
 
@@ -133,7 +135,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             h = _band_cells(cells.fixed_width(pa.chunked_array([batch.column(1)]), "u2"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(h.ravel())], ["member", "cell"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(k).to_numpy(), BANDS)) for k in (0, 2)), pa.array(h.ravel())], ["member", "n", "cell"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,7 @@ def _linked(words: int, threshold: float):
             ok = np.triu(part[:, None] != part[None, :], 1)
             ok &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
             if i != j:
-                ok &= block[:, None] != block[None, :]
+                ok &= (block[:, None] != block[None, :]) & (member[:, None] != member[None, :])
             a, b = np.nonzero(ok)
             r = cells.fixed_width(g.column("registers"), "u2")
             home = _band_cells(r)
@@ -272,7 +274,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int, threshold: float = THRE
     classes = sketched.where("same is not null").groupBy("same")
     classes = classes.agg(F.min("row").alias("member"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = materialize(classes, "setsketch-classes")
-    members = materialize(classes.select("member", "registers").mapInArrow(_bands, "member bigint, cell bigint"), "setsketch-cells")
+    members = materialize(classes.select("member", "registers", "n").mapInArrow(_bands, "member bigint, n bigint, cell bigint"), "setsketch-cells")
     sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.min("member").alias("leader")).where("n > 1")
     led = members.join(sizes, "cell").where("member != leader").select("member", "leader").distinct()
     side = lambda x: classes.select(F.col("member").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
@@ -284,12 +286,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int, threshold: float = THRE
     links = _confirm(best, texts, shingle_words, threshold)
     for turn in [*range(TURNS), None]:
         parts = connected_components(links)
-        labelled = members.join(parts, members.member == parts.node, "left").select("cell", "member", F.coalesce("component", "member").alias("component"))
-        open_cells = labelled.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
-        open_cells = open_cells.where("least != most").select("cell", "n")
-        again = cells.groups(labelled.select("cell", "member"), open_cells)
-        again = again.join(classes.select("member", "n", "registers"), "member").join(parts.withColumnRenamed("node", "member"), "member", "left")
-        again = again.withColumn("component", F.coalesce("component", "member")).select("cell", "i", "j", "block", "member", "component", "n", "registers")
+        labelled = members.join(parts, members.member == parts.node, "left").select("cell", "member", F.col("n").alias("words"), F.coalesce("component", "member").alias("component"))
+        open_cells = labelled.groupBy("cell").agg(F.count("*").alias("n"), (F.sum("words") * SHINGLE_BYTES).alias("bytes"), F.min("component").alias("least"), F.max("component").alias("most"))
+        open_cells = open_cells.where("least != most").select("cell", "n", "bytes")
+        again = cells.groups_across(labelled.select("cell", "member", "component"), open_cells)
+        again = again.join(classes.select("member", "n", "registers"), "member").select("cell", "i", "j", "block", "member", "component", "n", "registers")
         if turn is not None:
             pairs = materialize(cells.dealt(again).mapInArrow(_across(threshold, turn), "a bigint, b bigint").distinct(), "setsketch-pairs")
             more = _confirm(pairs, texts, shingle_words, threshold)
