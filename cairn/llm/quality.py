@@ -69,7 +69,7 @@ class Voters:
         norm = np.linalg.norm(z, axis=1)
         k = min(NEIGHBOURS, len(self.labels))
         cosine = (z / np.maximum(norm, 1e-12)[:, None]) @ self.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = nearest(cosine, k)
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** POWER
         total = weight.sum(axis=1)
         some = (norm > 0) & (total > 0)
@@ -77,6 +77,16 @@ class Voters:
         return out
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k largest values, ascending; of equal ones the earlier column."""
+    least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k][:, None]
+    chosen = cosine >= least
+    for i in np.flatnonzero(chosen.sum(axis=1) > k):  # more that are equal to the last one than there is room for
+        equal = np.flatnonzero(cosine[i] == least[i])
+        chosen[i, equal[k - int((cosine[i] > least[i]).sum()) :]] = False
+    return np.nonzero(chosen)[1].reshape(-1, k)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
