@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,23 +15,33 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one stands in only if all run in one process (tests); elsewhere it is an error, as executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: there is no folder that all executors share")
         found = tempfile.mkdtemp(prefix="cairn-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def own_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted like the tables of materialize()."""
+    path = f"{shared_dir(spark)}/cairn-tables/{tag}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete_all, spark)
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str, **options: object) -> DataFrame:
-    """Writes df as Parquet to the shared folder and returns what reads it: a cut of the lineage that outlives executors."""
+    """Writes df as Parquet to the shared folder and returns what reads it: a cut of the lineage that outlives executors. What nobody has discarded by then goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn-tables/{tag}-{uuid.uuid4().hex}"
+    path = own_path(spark, tag)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cairn_path = path
     return out
@@ -67,6 +78,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _delete_all(spark: SparkSession) -> None:
+    """At the driver's end, if its engine still runs."""
+    try:
+        while _written:
+            _delete(spark, _written.pop())
+    except Exception:  # the engine is gone; what is left are files in the cluster's folder for checkpoints
+        return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

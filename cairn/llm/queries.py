@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, fmindex, lattice, licences, mixing, quality, setsketch, suffixes, token_store, topk
-from cairn.llm.common import shared_dir, table
+from cairn.llm.common import own_path, table
 
 #: Production parameters.
 TOKEN_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -37,11 +37,9 @@ def op3_bpe_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     with open(WORD_VOCABULARY, encoding="utf-8") as f:
         vocabulary = f.read()
-    path = f"{shared_dir(spark)}/cairn-tables/tokens-{uuid.uuid4().hex}"
+    path = own_path(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), vocabulary, END_ID, path)
     return token_store.token_digests(spark, path)
 

@@ -309,6 +309,17 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_dealt(spark, monkeypatch):
+    rnd = np.random.RandomState(3)
+    rows = [(i % 190, rnd.randint(-3, 4, 12).astype(float).tolist()) for i in range(230)] + [(None, [1.0] * 12), (7, None), (8, [1.0, 2.0]), (9, [2.0, 2.0])]
+    d = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, chunk int, side int")
+    ask = F.col("vec_id") % 5 == 0
+    want = sorted(map(tuple, topk.top_k(d, ask).collect()))
+    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", 16)
+    monkeypatch.setattr(topk, "RANGE_ROWS", 50)
+    assert sorted(map(tuple, topk.top_k(d, ask).collect())) == want and len(want) > 300
+
+
 def test_top_k_bounds_hold_and_prune():
     rnd = np.random.RandomState(2)
     x, q = np.floor(rnd.randn(300, 37) * 100), np.floor(rnd.randn(37) * 100)
