@@ -82,6 +82,23 @@ def second_listing(files: DataFrame) -> DataFrame:
     return seen.unionByName(new)
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """document_files on a file system that numbers its files."""
+    return files.withColumn("fs_id", F.col("file_id").cast("string").cast("binary"))
+
+
+def renumbered_listing(files: DataFrame) -> DataFrame:
+    """What a later crawl of numbered files finds: by the last digit of the id, 0 is gone, 2 is renamed and has grown, 4 is renamed, 5 is gone but for two new links to it, 6 has got another number, 7 was renamed to where a new file has its number no more; all else is as before."""
+    digit, later = F.col("file_id") % 10, F.lit(10**15)
+    cols = ["path", "ext", "size", "mtime_ns", "ctime_ns", "fs_id"]
+    at = lambda prefix: F.concat(F.lit(prefix), "path")
+    seen = files.where(~digit.isin(0, 5)).withColumn("path", F.when(digit == 2, at("/grown")).when(digit == 4, at("/moved")).when(digit == 7, at("/fresh")).otherwise(F.col("path")))
+    seen = seen.withColumn("size", F.when(digit == 2, F.col("size") + 9).otherwise(F.col("size"))).withColumn("mtime_ns", F.when(digit == 2, F.col("mtime_ns") + later).otherwise(F.col("mtime_ns")))
+    seen = seen.withColumn("fs_id", F.when(digit.isin(6, 7), F.concat(F.lit(b"new"), "fs_id")).otherwise(F.col("fs_id")))
+    links = [files.where(digit == 5).withColumn("path", at(p)) for p in ("/b", "/a")]
+    return seen.select(*cols).unionByName(links[0].select(*cols)).unionByName(links[1].select(*cols))
+
+
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as records of a change journal."""
     reason = F.element_at(F.create_map(*map(F.lit, ["view", "security", "click", "overwrite", "purchase", "extend", "signup", "create", "error", "delete"])), F.col("event_type"))

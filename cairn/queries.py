@@ -235,6 +235,31 @@ def rescan_classify(spark, d):
     return _rescan(spark, d)[0]
 
 
+NUMBERED = FILES + """,
+listing AS (
+  SELECT CASE file_id % 10 WHEN 2 THEN '/grown' WHEN 4 THEN '/moved' WHEN 7 THEN '/fresh' ELSE '' END || path AS path, CASE WHEN file_id % 10 = 2 THEN size + 9 ELSE size END AS size,
+         CASE WHEN file_id % 10 = 2 THEN mtime_ns + 1000000000000000 ELSE mtime_ns END AS mtime_ns, CASE WHEN file_id % 10 IN (6, 7) THEN 'new' ELSE '' END || CAST(file_id AS VARCHAR) AS number
+  FROM files WHERE file_id % 10 NOT IN (0, 5)
+  UNION ALL SELECT p || path, size, mtime_ns, CAST(file_id AS VARCHAR) FROM files, (VALUES ('/a'), ('/b')) v(p) WHERE file_id % 10 = 5),
+by_path AS (SELECT l.path, 'unchanged' AS class, f.file_id, f.path AS old_path FROM listing l JOIN files f ON l.path = f.path WHERE l.size = f.size AND l.mtime_ns = f.mtime_ns),
+free AS (SELECT * FROM files WHERE path NOT IN (SELECT path FROM listing)),
+by_number AS (
+  SELECT l.path, CASE WHEN l.size = f.size AND l.mtime_ns = f.mtime_ns THEN 'renamed' ELSE 'changed' END AS class, f.file_id, f.path AS old_path
+  FROM listing l JOIN free f ON l.number = CAST(f.file_id AS VARCHAR) QUALIFY row_number() OVER (PARTITION BY f.file_id ORDER BY l.path) = 1),
+alone AS (SELECT size, mtime_ns, min(file_id) AS file_id, min(path) AS old_path FROM free WHERE file_id NOT IN (SELECT file_id FROM by_number) GROUP BY ALL HAVING count(*) = 1),
+fit AS (
+  SELECT l.path, 'renamed' AS class, a.file_id, a.old_path FROM listing l JOIN alone a ON l.size = a.size AND l.mtime_ns = a.mtime_ns
+  WHERE l.path NOT IN (SELECT path FROM by_path) AND l.path NOT IN (SELECT path FROM by_number) QUALIFY row_number() OVER (PARTITION BY a.file_id ORDER BY l.path) = 1),
+known AS (SELECT * FROM by_path UNION ALL SELECT * FROM by_number UNION ALL SELECT * FROM fit)"""
+
+
+@query(f"WITH {NUMBERED} SELECT * FROM known UNION ALL SELECT path, 'added', NULL, NULL FROM listing WHERE path NOT IN (SELECT path FROM known)")
+def rescan_by_number(spark, d):
+    """Files that a rescan knows again by the file system's numbers."""
+    files = A.numbered(A.document_files(spark, d))
+    return scan.classify(A.renumbered_listing(files), files)
+
+
 @query(f"WITH {LISTING} SELECT file_id, path, CAST(2 AS BIGINT) AS deleted_at FROM files WHERE file_id NOT IN (SELECT file_id FROM classified WHERE file_id IS NOT NULL)")
 def tombstone_unseen(spark, d):
     c, files = _rescan(spark, d)
@@ -483,6 +508,11 @@ def browse_universal(spark, d):
     return browse.universal(browse.selection(A.part_tags(spark, d), CHOSEN), CHOSEN)
 
 
+@query(f"WITH {ROOT} SELECT namespace, count(*) > count(DISTINCT file_id) AS multi FROM s GROUP BY namespace")
+def browse_multi_valued(spark, d):
+    return browse.multi_valued(A.part_tags(spark, d))
+
+
 @query(f"WITH {SELECTED}, a AS (SELECT sum(n_files) AS assigned FROM counts), c AS (SELECT count(DISTINCT file_id) AS corpus FROM tagged), df AS (SELECT namespace, value, count(*) AS df FROM tagged GROUP BY ALL) SELECT namespace, value, CAST(round(n_files / assigned * ln(1 + corpus / df) * 1e6) AS BIGINT) AS weight_key FROM counts JOIN df USING (namespace, value), a, c ORDER BY weight_key DESC, namespace, value LIMIT 5")
 def browse_label(spark, d):
     t = A.part_tags(spark, d)

@@ -1,4 +1,4 @@
-"""Queries whose rows SQL does not state: byte-exact text scans and document parsers, over whole tables."""
+"""Byte-exact text scans and document parsers in Python, over whole tables, and the SQL of their rows."""
 
 from __future__ import annotations
 
@@ -48,7 +48,26 @@ def docmeta_extract(spark: SparkSession, d: str) -> DataFrame:
 
     packed = t.mapInPandas(pack, "file_id bigint, text string, role string, ext string, content binary")
     got = extract(packed)
-    return got.selectExpr("file_id", "error IS NULL AND body = text AS same", "authors")
+    return got.selectExpr("file_id", "error IS NULL AND body = text AS same", "array_join(authors, ',') AS authors")
+
+
+#: Each step breaks the first piece off what is left of a run that is too long.
+LATTICE_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id AS file_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\n\\t。、]*[\\n\\t。、]|[^\\n\\t。、]+$')) AS run FROM documents),
+steps AS (
+  SELECT file_id, run, NULL::VARCHAR AS piece, 0 AS broken FROM runs
+  UNION ALL
+  SELECT file_id, CASE WHEN cut > 0 THEN substr(run, cut + 2) ELSE substr(run, length(head) + 1) END, CASE WHEN cut > 0 THEN substr(run, 1, cut) ELSE head END, 1
+  FROM (
+    SELECT *, length(regexp_extract(head, '^((?s).*)[ \\r]', 1)) AS cut
+    FROM (SELECT file_id, run, substr(run, 1, list_max(list_filter(range(1, {RUN_BYTES + 1}), lambda k: strlen(substr(run, 1, k)) <= {RUN_BYTES}))) AS head FROM steps WHERE strlen(run) > {RUN_BYTES}))),
+found AS (
+  SELECT file_id, sum(broken) AS n, max(greatest(coalesce(strlen(piece), 0), CASE WHEN strlen(run) <= {RUN_BYTES} THEN strlen(regexp_replace(run, '[\\n\\t。、]$', '')) ELSE 0 END)) AS longest
+  FROM steps GROUP BY file_id)
+SELECT doc_id AS file_id, CAST(coalesce(n, 0) AS BIGINT) AS n_breaks, CAST(coalesce(longest, 0) AS BIGINT) AS longest FROM documents LEFT JOIN found ON file_id = doc_id
+"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"lattice_breaks": lattice_breaks, "docmeta_extract": docmeta_extract}
+ORACLES: dict[str, str] = {"lattice_breaks": LATTICE_SQL, "docmeta_extract": "SELECT conv_id * 1000 + turn AS file_id, true AS same, role AS authors FROM conversations"}

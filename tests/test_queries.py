@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import Window
 
 from cairn.queries import ORACLES, QUERIES
+from cairn.queries_rows import ORACLES as ROWS_SQL
+from cairn.queries_rows import QUERIES as ROWS
 from tests.oracle import compare, connect
 
 
@@ -26,14 +28,9 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_queries_without_sql(spark, sf_dir):
-    from cairn.queries_rows import QUERIES as ROWS
-    from cairn.queries_rows import RUN_BYTES
-
-    got = ROWS["lattice_breaks"](spark, sf_dir).collect()
-    assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and max(r.longest for r in got) <= RUN_BYTES and any(r.n_breaks for r in got)
-    docs = ROWS["docmeta_extract"](spark, sf_dir).collect()
-    assert docs and all(r.same and len(r.authors) == 1 for r in docs)
+@pytest.mark.parametrize("name", sorted(ROWS))
+def test_python_query_equals_sql(spark, sf_dir, con, name):
+    compare(spark, con, sf_dir, ROWS[name], ROWS_SQL[name])
 
 
 def test_hash_backfill_whole(spark, sf_dir):
