@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -34,11 +34,14 @@ def groups(light: DataFrame, sizes: DataFrame) -> DataFrame:
     return d.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "member")
 
 
-def groups_across(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
-    """cell, i, j, block, member, component as groups() has them, for pairs of different components; labelled: cell, member, component; sizes: cell, n, bytes."""
-    s = sizes.select("cell", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+def blocks(n: str, size: str) -> Column:
+    """How many blocks a cell of n members and so many bytes is dealt into."""
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_BYTES))
+
+
+def groups_across(rows: DataFrame) -> DataFrame:
+    """cell, i, j, block, member, component as groups() has them, for pairs of different components; rows: cell, member, component and the cell's blocks, from a table, as they are read several times."""
     zero = F.lit(0).cast("long")
-    rows = labelled.join(s, "cell").select("cell", "member", "component", "blocks")
     small = rows.where("blocks <= 1").select("cell", zero.alias("i"), zero.alias("j"), zero.alias("block"), "member", "component")
     large = rows.where("blocks > 1")
     per = large.groupBy("cell", "component", "blocks").agg(F.count("*").alias("c"))

@@ -288,8 +288,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int, threshold: float = THRE
         parts = connected_components(links)
         labelled = members.join(parts, members.member == parts.node, "left").select("cell", "member", F.col("n").alias("words"), F.coalesce("component", "member").alias("component"))
         open_cells = labelled.groupBy("cell").agg(F.count("*").alias("n"), (F.sum("words") * SHINGLE_BYTES).alias("bytes"), F.min("component").alias("least"), F.max("component").alias("most"))
-        open_cells = open_cells.where("least != most").select("cell", "n", "bytes")
-        again = cells.groups_across(labelled.select("cell", "member", "component"), open_cells)
+        open_cells = open_cells.where("least != most").select("cell", cells.blocks("n", "bytes").alias("blocks"))
+        opened = materialize(labelled.join(open_cells, "cell").select("cell", "member", "component", "blocks"), "setsketch-open")
+        again = cells.groups_across(opened)
         again = again.join(classes.select("member", "n", "registers"), "member").select("cell", "i", "j", "block", "member", "component", "n", "registers")
         if turn is not None:
             pairs = materialize(cells.dealt(again).mapInArrow(_across(threshold, turn), "a bigint, b bigint").distinct(), "setsketch-pairs")
@@ -300,7 +301,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int, threshold: float = THRE
             last = cells.dealt(last.select("cell", "i", "j", "block", "member", "component", "n", "registers", "text"))
             more = materialize(last.mapInArrow(_linked(shingle_words, threshold), "a bigint, b bigint"), "setsketch-links")
         both = materialize(links.unionByName(more), "setsketch-links")
-        discard(links, more, pairs, parts)
+        discard(links, more, pairs, parts, opened)
         links = both
     parts2 = connected_components(links)
     known = classes.select("same", "member", "least").join(parts2.withColumnRenamed("node", "member"), "member", "left")
