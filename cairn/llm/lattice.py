@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, product
 
 import numpy as np
@@ -78,15 +79,22 @@ def _cell(points: np.ndarray, table: int, length: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+@lru_cache(maxsize=256)
+def _projection(table: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A table's eight directions and shift for vectors of a length."""
+    rng = np.random.Generator(np.random.PCG64([SEED, table, length]))
+    wide = max(8, length)
+    return np.linalg.qr(rng.standard_normal((wide, 8)))[0] * np.sqrt(wide / 8), rng.random(8)
+
+
 def lattice_cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
     """The cells of unit vectors, tables * (1 + probes) for each."""
     d = x.shape[1]
     wide = np.hstack([x, np.zeros((len(x), max(0, 8 - d)))])
     out = []
     for t in range(tables):
-        rng = np.random.Generator(np.random.PCG64([SEED, t, d]))
-        basis = np.linalg.qr(rng.standard_normal((wide.shape[1], 8)))[0] * np.sqrt(wide.shape[1] / 8)
-        y = wide @ basis / scale + rng.random(8)
+        basis, shift = _projection(t, d)
+        y = wide @ basis / scale + shift
         p = nearest_e8(y)
         out.append(_cell(p, t, d))
         near = np.argsort(-((y - p) @ _NEIGHBOURS.T), axis=1, kind="stable")[:, :probes]
@@ -139,7 +147,35 @@ def _hashed(kind: str):
 
 def _verified(threshold: float, kind: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list[np.ndarray]] = [[], [], []]
+        held: list[tuple] = []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            # The cells of members with links are found again here, for many groups at once: so they need not travel with every member.
+            found = lattice_cells(np.concatenate([h[-1] for h in held]))
+            out: list[list[np.ndarray]] = [[], [], []]
+            begin = 0
+            for cell, member, n, a, b, x in held:
+                keep = owned_pairs(cell, found[begin : begin + len(x)], a, b)
+                begin += len(x)
+                links = np.zeros(len(member), np.int64)
+                np.add.at(links, a[keep], n[b[keep]])
+                np.add.at(links, b[keep], n[a[keep]])
+                root = member.copy()
+                while True:  # the smallest member reachable inside the group
+                    low = np.minimum(root[a], root[b])
+                    new = root.copy()
+                    np.minimum.at(new, a, low)
+                    np.minimum.at(new, b, low)
+                    if (new == root).all():
+                        break
+                    root = new
+                some = (links > 0) | (root != member)
+                for o, v in zip(out, (member[some], links[some], root[some]), strict=True):
+                    o.append(v)
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["member", "links", "root"])
+
+        size = 0
         for g in cells.each_group(batches):
             if g.num_rows < 2:
                 continue
@@ -152,30 +188,17 @@ def _verified(threshold: float, kind: str):
             a, b = np.nonzero(linked)
             if not len(a):
                 continue
-            # The cells of members with links are found again here: they travel with each member's vector less often than they would with its cells.
+            if held and held[-1][-1].shape[1] != x.shape[1]:
+                yield from finish()
+                size = 0
             some = np.unique(np.r_[a, b])
-            width = lattice_cells(x[some])
-            keep = owned_pairs(cell, width, np.searchsorted(some, a), np.searchsorted(some, b))
-            links = np.zeros(len(member), np.int64)
-            np.add.at(links, a[keep], n[b[keep]])
-            np.add.at(links, b[keep], n[a[keep]])
-            root = member.copy()
-            while True:  # the smallest member reachable inside the group
-                low = np.minimum(root[a], root[b])
-                new = root.copy()
-                np.minimum.at(new, a, low)
-                np.minimum.at(new, b, low)
-                if (new == root).all():
-                    break
-                root = new
-            some = (links > 0) | (root != member)
-            for o, v in zip(out, (member[some], links[some], root[some]), strict=True):
-                o.append(v)
-            if len(out[0]) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["member", "links", "root"])
-                out = [[], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["member", "links", "root"])
+            held.append((cell, member[some], n[some], np.searchsorted(some, a), np.searchsorted(some, b), x[some]))
+            size += len(some) + len(a) // 100
+            if size > BLOCK:
+                yield from finish()
+                size = 0
+        if held:
+            yield from finish()
 
     return work
 
