@@ -272,7 +272,8 @@ class Engine:
         rules: list[Rule] = parse_rules(config if config is not None else (self.store.meta("rules_text") or ""))[0]
         stored = self.tagged().join(one.select("file_id"), "file_id", "left_semi").select("namespace", "value", F.col("sources").alias("stored"))
         now = tags.generate(self._facts(True, True, 64 << 20, one), self.store.meta("root"), rules).select("namespace", "value", F.col("sources").alias("now"))
-        rows = stored.join(now, ["namespace", "value"], "full_outer").orderBy("namespace", "value").limit(2 * fixed.MAX_TAGS).collect()
+        both = stored.join(now, ["namespace", "value"], "full_outer").withColumn("from", tags.describe_sources(F.coalesce("now", "stored")))
+        rows = both.orderBy("namespace", "value").limit(2 * fixed.MAX_TAGS).collect()
         return Answer(Outcome.ANSWER if rows else Outcome.EMPTY, rows)
 
     def browse(self, words: list[str] = (), axes: int = browse.AXES, values: int = browse.VALUES, label_terms: int = browse.LABEL_TERMS, preview: int = browse.PREVIEW, fresh_answer: bool = True) -> Answer:

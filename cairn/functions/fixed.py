@@ -37,17 +37,17 @@ EXT_ALIASES = {
     "markdown": "md", "mdown": "md", "text": "txt", "tgz": "tar.gz",
 }
 
-# Leading bytes (hexadecimal) of formats; the first that fits counts.
+# Leading bytes of formats; the first that fits counts.
 SIGNATURES = [
-    ("255044462D", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpg"), ("474946383761", "gif"),
-    ("474946383961", "gif"), ("424D", "bmp"), ("49492A00", "tiff"), ("4D4D002A", "tiff"),
-    ("504B0304", "zip"), ("504B0506", "zip"), ("504B0708", "zip"), ("1F8B", "gzip"), ("425A68", "bzip2"),
-    ("FD377A585A00", "xz"), ("28B52FFD", "zstd"), ("377ABCAF271C", "sevenzip"), ("526172211A07", "rar"),
-    ("7F454C46", "elf"), ("4D5A", "pe"), ("FEEDFACE", "macho"), ("FEEDFACF", "macho"), ("CAFEBABE", "class"),
-    ("53514C69746520666F726D6174203300", "sqlite"), ("D0CF11E0A1B11AE1", "ole2"), ("7B5C727466", "rtf"),
-    ("4F676753", "ogg"), ("664C6143", "flac"), ("494433", "mp3"), ("1A45DFA3", "matroska"),
-    ("25215053", "postscript"), ("0061736D", "wasm"), ("774F4646", "woff"), ("774F4632", "woff2"),
-    ("0001000000", "ttf"), ("4F54544F", "otf"), ("38425053", "psd"), ("2521", "postscript"),
+    (b"%PDF-", "pdf"), (b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpg"), (b"GIF87a", "gif"),
+    (b"GIF89a", "gif"), (b"BM", "bmp"), (b"II*\x00", "tiff"), (b"MM\x00*", "tiff"), (b"PK\x03\x04", "zip"),
+    (b"PK\x05\x06", "zip"), (b"PK\x07\x08", "zip"), (b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"),
+    (b"(\xb5/\xfd", "zstd"), (b"7z\xbc\xaf'\x1c", "sevenzip"), (b"Rar!\x1a\x07", "rar"), (b"\x7fELF", "elf"),
+    (b"MZ", "pe"), (b"\xfe\xed\xfa\xce", "macho"), (b"\xfe\xed\xfa\xcf", "macho"), (b"\xca\xfe\xba\xbe", "class"),
+    (b"SQLite format 3\x00", "sqlite"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "ole2"), (b"{\x5crtf", "rtf"),
+    (b"OggS", "ogg"), (b"fLaC", "flac"), (b"ID3", "mp3"), (b"\x1aE\xdf\xa3", "matroska"), (b"%!PS", "postscript"),
+    (b"\x00asm", "wasm"), (b"wOFF", "woff"), (b"wOF2", "woff2"), (b"\x00\x01\x00\x00\x00", "ttf"), (b"OTTO", "otf"),
+    (b"8BPS", "psd"), (b"%!", "postscript"),
 ]
 
 # Format that an extension implies; further extensions of TEXT_EXTS imply text.

@@ -18,7 +18,7 @@ def _by_value(table: dict[str, str]) -> dict[str, str]:
 
 def sniff_is_text(sample: Column) -> Column:
     """Whether the first bytes are text: a UTF-8 mark is, a UTF-16 mark, a zero byte or over one control byte in a hundred of at least 512 is not; else it must be UTF-8, save for a character cut at the end."""
-    h = F.hex(sample)
+    begins = lambda b: F.startswith(sample, F.lit(b))
     latin = F.decode(sample, "ISO-8859-1")
     controls = F.regexp_count(latin, F.lit(r"[\x00-\x08\x0E-\x1A\x1C-\x1F\x7F]"))
     n = F.octet_length(sample)
@@ -28,8 +28,8 @@ def sniff_is_text(sample: Column) -> Column:
         cut = cut | ((n >= k) & latin.rlike(lead) & F.is_valid_utf8(F.substr(sample, F.lit(1), n - k).cast("string")))
     return (
         F.when(n == 0, F.lit(False))
-        .when(F.startswith(h, F.lit("EFBBBF")), F.lit(True))
-        .when(h.rlike("^(FFFE|FEFF)"), F.lit(False))
+        .when(begins(b"\xef\xbb\xbf"), F.lit(True))
+        .when(begins(b"\xff\xfe") | begins(b"\xfe\xff"), F.lit(False))
         .when(F.contains(latin, F.lit("\0")), F.lit(False))
         .when(controls * 100 > F.greatest(n, F.lit(fixed.SNIFF_BYTES)), F.lit(False))
         .otherwise(whole | cut)
@@ -38,17 +38,18 @@ def sniff_is_text(sample: Column) -> Column:
 
 def format_from_magic(sample: Column) -> Column:
     """The format that the first bytes state; null for no bytes."""
-    h = F.hex(sample)
+    begins = lambda b: F.startswith(sample, F.lit(b))
+    word = lambda at: F.substring(sample, at + 1, 4)
     out = F.when(F.octet_length(sample) == 0, F.lit(None).cast("string"))
     for sig, name in fixed.SIGNATURES:
-        out = out.when(F.startswith(h, F.lit(sig)), F.lit(name))
-    riff = F.startswith(h, F.lit("52494646"))
-    for word, name in (("57415645", "wav"), ("41564920", "avi"), ("57454250", "webp")):
-        out = out.when(riff & (F.substring(h, 17, 8) == word), F.lit(name))
+        out = out.when(begins(sig), F.lit(name))
+    riff = begins(b"RIFF")
+    for kind, name in ((b"WAVE", "wav"), (b"AVI ", "avi"), (b"WEBP", "webp")):
+        out = out.when(riff & (word(8) == F.lit(kind)), F.lit(name))
     out = out.when(riff, F.lit("riff"))
-    boxed = F.substring(h, 9, 8) == "66747970"
-    out = out.when(boxed & F.substring(h, 17, 8).isin("68656963", "68656978", "6D696631"), F.lit("heif")).when(boxed, F.lit("mp4"))
-    out = out.when(h.rlike("^(FFFE|FEFF)"), F.lit("utf16")).when(h.rlike("^(EFBBBF)?3C3F786D6C"), F.lit("xml"))
+    boxed = word(4) == F.lit(b"ftyp")
+    out = out.when(boxed & word(8).isin(b"heic", b"heix", b"mif1"), F.lit("heif")).when(boxed, F.lit("mp4"))
+    out = out.when(begins(b"\xff\xfe") | begins(b"\xfe\xff"), F.lit("utf16")).when(begins(b"<?xml") | begins(b"\xef\xbb\xbf<?xml"), F.lit("xml"))
     return out.when(sniff_is_text(sample), F.lit("text")).when(sample.isNotNull(), F.lit("binary"))
 
 

@@ -43,10 +43,6 @@ def extension(name: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(name, r"(?s).\.([^.]+)$", 1)), F.lit(""))
 
 
-def normalised_ext(ext: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(ext), r"^\.+", ""))
-
-
 def folded_ext(ext: Column) -> Column:
     """Aliases of one format become one extension."""
     alias = F.create_map(*[F.lit(x) for pair in fixed.EXT_ALIASES.items() for x in pair])

@@ -9,6 +9,11 @@ from dataclasses import dataclass, field
 from cairn.functions import fixed
 
 
+def normalised_ext(ext: str) -> str:
+    """An extension that a user wrote, as the tables have it."""
+    return ext.strip().lstrip(".").lower()
+
+
 @dataclass(frozen=True)
 class ExcludePolicy:
     """Directory names, absolute prefixes, ignore patterns of a root file (directories only)."""
@@ -79,7 +84,7 @@ class TextPolicy:
     binary: tuple[str, ...] = ()
 
     def with_text(self, exts: list[str]) -> TextPolicy:
-        known = [e.strip().lstrip(".").lower() for e in exts]
+        known = list(map(normalised_ext, exts))
         return TextPolicy(tuple(dict.fromkeys([*self.text, *known])), self.binary)
 
     @classmethod
@@ -88,7 +93,7 @@ class TextPolicy:
         found = tomllib.loads(text).get("text", {}) if text else {}
         if unknown := set(found) - {"text", "binary"}:
             raise ValueError(f"text: unknown keys {sorted(unknown)}")
-        listed = lambda key: tuple(dict.fromkeys(e.strip().lstrip(".").lower() for e in found.get(key, [])))
+        listed = lambda key: tuple(dict.fromkeys(map(normalised_ext, found.get(key, []))))
         return cls(listed("text"), listed("binary"))
 
     def verdict(self, ext: str | None) -> str:

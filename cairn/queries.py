@@ -423,14 +423,14 @@ def path_tokens(spark, d):
     return f.select("file_id", F.explode(F.array_distinct(found)).alias("value"))
 
 
-_MAGICS = fixed.SIGNATURES + [("5249464600000000574156450000", "wav"), ("000000006674797068656963", "heif"), ("00000000667479706D703432", "mp4"), ("FFFE4100", "utf16"), ("3C3F786D6C20", "xml")]
-_MAGIC_CASE = "CASE " + " ".join(f"WHEN starts_with(h, '{s}') THEN '{n}'" for s, n in fixed.SIGNATURES) + " WHEN starts_with(h, '52494646') THEN 'wav' WHEN substr(h, 9, 16) = '6674797068656963' THEN 'heif' WHEN substr(h, 9, 8) = '66747970' THEN 'mp4' WHEN starts_with(h, 'FFFE') THEN 'utf16' WHEN starts_with(h, '3C3F786D6C') THEN 'xml' ELSE 'text' END"
+_MAGICS = [*fixed.SIGNATURES, (b"RIFF\0\0\0\0WAVE\0\0", "wav"), (b"\0\0\0\0ftypheic", "heif"), (b"\0\0\0\0ftypmp42", "mp4"), (b"\xff\xfeA\0", "utf16"), (b"<?xml ", "xml")]
+_MAGIC_CASE = "CASE " + " ".join(f"WHEN starts_with(h, '{s.hex().upper()}') THEN '{n}'" for s, n in fixed.SIGNATURES) + " WHEN starts_with(h, '52494646') THEN 'wav' WHEN substr(h, 9, 16) = '6674797068656963' THEN 'heif' WHEN substr(h, 9, 8) = '66747970' THEN 'mp4' WHEN starts_with(h, 'FFFE') THEN 'utf16' WHEN starts_with(h, '3C3F786D6C') THEN 'xml' ELSE 'text' END"
 
 
-@query(f"WITH b AS (SELECT doc_id AS file_id, CASE WHEN doc_id % 2 = 0 THEN [{_sql_list(s for s, _ in _MAGICS)}][doc_id % {len(_MAGICS)} + 1] ELSE '' END || hex(substr(text, 1, 20)) AS h FROM documents) SELECT file_id, {_MAGIC_CASE} AS format FROM b")
+@query(f"WITH b AS (SELECT doc_id AS file_id, CASE WHEN doc_id % 2 = 0 THEN [{_sql_list(s.hex().upper() for s, _ in _MAGICS)}][doc_id % {len(_MAGICS)} + 1] ELSE '' END || hex(substr(text, 1, 20)) AS h FROM documents) SELECT file_id, {_MAGIC_CASE} AS format FROM b")
 def format_magic(spark, d):
     t = A.table(spark, d, "documents")
-    head = F.element_at(F.array(*[F.lit(bytes.fromhex(s)) for s, _ in _MAGICS]), (F.col("doc_id") % len(_MAGICS) + 1).cast("int"))
+    head = F.element_at(F.array(*[F.lit(s) for s, _ in _MAGICS]), (F.col("doc_id") % len(_MAGICS) + 1).cast("int"))
     sample = F.substring(F.concat(F.when(F.col("doc_id") % 2 == 0, head).otherwise(F.lit(b"")), F.col("text").cast("binary")), 1, fixed.SNIFF_BYTES)
     return t.select(F.col("doc_id").alias("file_id"), formats.format_from_magic(sample).alias("format"))
 

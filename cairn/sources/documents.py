@@ -98,10 +98,91 @@ def _clean(s: str | None) -> str | None:
     return re.sub(r"[\s\x00-\x1f\x7f-\x9f]+", " ", s or "").strip() or None
 
 
-def exif(data: bytes) -> dict:
-    """Camera and date from the EXIF block of a JPEG or TIFF; none if there is no such block."""
+def _boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, begin, end) of the boxes of an ISO media file."""
+    while at + 8 <= end:
+        size, kind = struct.unpack_from(">I4s", data, at)
+        head = 8
+        if size == 1 and at + 16 <= end:
+            size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+        size = size or end - at
+        if size < head:
+            return
+        yield kind, at + head, min(at + size, end)
+        at += size
+
+
+def _heif_exif(data: bytes) -> bytes | None:
+    """The Exif item of a HEIF or AVIF: its number from the item information, its place from the item locations."""
+    meta = next(((a + 4, b) for kind, a, b in _boxes(data, 0, len(data)) if kind == b"meta"), None)
+    if meta is None:
+        return None
+    number, places = None, {}
+    for kind, a, b in _boxes(data, *meta):
+        if kind == b"iinf":
+            wide = data[a] != 0
+            for k, x, _ in _boxes(data, a + (8 if wide else 6), b):
+                if k == b"infe" and data[x] >= 2:
+                    long = data[x] > 2
+                    if data[x + (10 if long else 8) :][:4] == b"Exif":
+                        number = struct.unpack_from(">I" if long else ">H", data, x + 4)[0]
+        elif kind == b"iloc":
+            version, sizes = data[a], struct.unpack_from(">H", data, a + 4)[0]
+            offset, length, base, index = sizes >> 12, sizes >> 8 & 15, sizes >> 4 & 15, sizes & 15 if version else 0
+            at = a + 6
+
+            def take(n: int) -> int:
+                nonlocal at
+                at += n
+                return int.from_bytes(data[at - n : at])
+
+            for _ in range(take(4 if version > 1 else 2)):
+                item = take(4 if version > 1 else 2)
+                if version:
+                    take(2)
+                take(2)
+                begin = take(base)
+                for extent in range(take(2)):
+                    take(index)
+                    found = begin + take(offset), take(length)
+                    if extent == 0:
+                        places[item] = found
+    if number not in places:
+        return None
+    begin, size = places[number]
+    item = data[begin : begin + size]
+    return item[4 + int.from_bytes(item[:4]) :].removeprefix(b"Exif\0\0")
+
+
+def exif_block(data: bytes) -> bytes | None:
+    """The TIFF structure of a picture's EXIF, if it has one: of TIFF, JPEG, PNG (eXIf), WebP (EXIF), HEIF and AVIF."""
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return data
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(data):
+            size, kind = struct.unpack_from(">I4s", data, at)
+            if kind == b"eXIf":
+                return data[at + 8 : at + 8 + size]
+            at += 12 + size
+        return None
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        at = 12
+        while at + 8 <= len(data):
+            kind, size = struct.unpack_from("<4sI", data, at)
+            if kind == b"EXIF":
+                return data[at + 8 : at + 8 + size].removeprefix(b"Exif\0\0")
+            at += 8 + size + size % 2
+        return None
+    if data[4:8] == b"ftyp":
+        return _heif_exif(data)
     at = data.find(b"Exif\0\0")
-    tiff = data[at + 6 :] if at >= 0 else data if data[:4] in (b"II*\0", b"MM\0*") else None
+    return data[at + 6 :] if at >= 0 else None
+
+
+def exif(data: bytes) -> dict:
+    """Camera and date from a picture's EXIF; none if it has none."""
+    tiff = exif_block(data)
     if tiff is None:
         return {}
     order = "<" if tiff[:2] == b"II" else ">"
@@ -135,7 +216,7 @@ def _one(data: bytes | None, ext: str | None) -> dict:
         elif ext in ("docx", "docm", "pptx", "pptm", "xlsx", "xlsm"):
             out["body"] = office_body(data, ext)[:MAX_BODY_CHARS]
             out |= office_properties(data)
-        elif ext in ("jpg", "jpeg", "tif", "tiff"):
+        elif ext in ("jpg", "jpeg", "tif", "tiff", "png", "webp", "heic", "heif", "avif"):
             out |= exif(data)
         elif ext == "pdf":
             file = Pdf(data)
@@ -180,6 +261,5 @@ def read_contents(files: DataFrame, max_bytes: int) -> DataFrame:
 
 def decoded(content):
     """Bytes as text: without a UTF-8 mark, bytes that are no UTF-8 replaced."""
-    h = F.hex(content)
-    bare = F.when(F.startswith(h, F.lit("EFBBBF")), F.substr(content, F.lit(4))).otherwise(content)
+    bare = F.when(F.startswith(content, F.lit(b"\xef\xbb\xbf")), F.substr(content, F.lit(4))).otherwise(content)
     return F.make_valid_utf8(bare.cast("string"))

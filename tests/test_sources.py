@@ -1,5 +1,6 @@
 import json
 import os
+import struct
 import zlib
 
 import pytest
@@ -7,9 +8,10 @@ from pyspark.sql import functions as F
 
 from cairn.operators import fulltext, scan
 from cairn.plans.policy import Marker, TextPolicy, ignore_patterns, journal_probe, source_for
-from cairn.sources import fs, shared
+from cairn.sources import documents, fs, shared
 from cairn.sources.pdf import Pdf, PdfError, text_string
 from cairn.sources.store import Conflict, Store, behind
+from cairn.streaming import changes
 
 CMAP = b"""begincmap 1 begincodespacerange <0000> <ffff> endcodespacerange
 2 beginbfchar <0001> <0048> <0002> <00690021> endbfchar
@@ -144,3 +146,45 @@ def test_kept_index(spark, tmp_path):
     gone = spark.createDataFrame([(1,)], "file_id long")
     new = spark.createDataFrame([(2, "the new hat")], "file_id long, body string")
     assert sorted((r.term, r.file_id) for r in fulltext.updated(kept.postings, gone, new).collect()) == [("hat", 2), ("new", 2), ("the", 2)]
+
+
+def _tiff(model):
+    text = model.encode() + b"\0"
+    return b"II*\0\x08\0\0\0\x01\0" + struct.pack("<HHII", 0x0110, 2, len(text), 26) + b"\0\0\0\0" + text
+
+
+def _box(kind, body):
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def test_exif_of_every_container():
+    tiff = _tiff("Model X")
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4s", 2, b"IHDR") + b"xx" + b"crc0" + struct.pack(">I4s", len(tiff), b"eXIf") + tiff + b"crc1"
+    webp = b"RIFF\0\0\0\0WEBP" + struct.pack("<4sI", b"VP8 ", 3) + b"abc\0" + struct.pack("<4sI", b"EXIF", len(tiff)) + tiff
+    item = b"\0\0\0\x06Exif\0\0" + tiff
+    ftyp = _box(b"ftyp", b"heic\0\0\0\0")
+    infe = _box(b"infe", b"\2\0\0\0" + struct.pack(">HH", 7, 0) + b"Exif\0")
+    iinf = _box(b"iinf", b"\0\0\0\0" + struct.pack(">H", 1) + infe)
+
+    def heif(begin):
+        iloc = _box(b"iloc", b"\0\0\0\0" + struct.pack(">HH", 0x4400, 1) + struct.pack(">HHHII", 7, 0, 1, begin, len(item)))
+        return ftyp + _box(b"meta", b"\0\0\0\0" + iinf + iloc) + _box(b"mdat", item)
+
+    begin = len(heif(0)) - len(item)
+    for data in (tiff, b"\xff\xd8\xff\xe1..Exif\0\0" + tiff, png, webp, heif(begin)):
+        assert documents.exif(data)["camera"] == "Model X"
+    for data in (b"", png[:20], webp[:14], ftyp, b"RIFF\0\0\0\0WEBPEXIF"):
+        assert documents.exif(data) == {}
+
+
+def test_followed_table_is_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "COMPACT_EVERY", 2)
+    src, target = str(tmp_path / "src"), str(tmp_path / "t")
+    for n in range(5):
+        rows = [(f"/{c}", 10 * n + k, "delete" if (n + k) % 3 == 0 else "create") for k, c in enumerate("abc"[: n + 1])]
+        spark.createDataFrame(rows, changes.JOURNAL).write.mode("append").parquet(src)
+        changes.follow(changes.journal_stream(spark, src, -1, -1), target, str(tmp_path / "ck")).awaitTermination()
+    assert sorted(d for d in os.listdir(target) if d.startswith("base")) == ["base=1", "base=3"]
+    assert {(r.path, r.usn, r.exists) for r in changes.latest(spark, target).collect()} == {("/a", 40, True), ("/b", 41, True), ("/c", 42, False)}
+    with pytest.raises(changes.RescanRequired):
+        changes.journal_stream(spark, src, 3, 9)
