@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import fixed, formats, paths
@@ -25,17 +24,19 @@ def classify(found: DataFrame, stored: DataFrame) -> DataFrame:
     fresh = found.join(old, found.path == old.old_path, "left_anti")
     free = old.join(found.select("path"), F.col("path") == F.col("old_path"), "left_anti")
 
-    first = lambda rows, key, order: rows.withColumn("p", F.row_number().over(W.partitionBy(key).orderBy(order))).where("p = 1").drop("p")
-    ids = fresh.join(free, fresh.fs_id == free.o_fs)
-    ids = first(first(ids, "path", "file_id"), "file_id", "path")
-    moved = ids.select("path", F.when(same, F.lit("renamed")).otherwise(F.lit("changed")).alias("class"), "file_id", "old_path")
+    # One entry and one file for each number, and for each size and time: aggregated before they meet, so that a number or a size that many share is no task of its own.
+    entry = F.min(F.struct("path", "size", "mtime_ns")).alias("e")
+    number = fresh.where("fs_id is not null").groupBy("fs_id").agg(entry)
+    owner = free.where("o_fs is not null").groupBy("o_fs").agg(F.min(F.struct("file_id", "old_path", "o_size", "o_mtime")).alias("o"))
+    moved = number.join(owner, F.col("fs_id") == F.col("o_fs")).select("e.*", "o.*")
+    moved = moved.select("path", F.when(same, F.lit("renamed")).otherwise(F.lit("changed")).alias("class"), "file_id", "old_path")
 
     fresh2 = fresh.join(moved.select("path"), "path", "left_anti")
     free2 = free.join(moved.select("file_id"), "file_id", "left_anti")
-    pair = W.partitionBy("o_size", "o_mtime")
-    alone = free2.withColumn("n", F.count("*").over(pair)).where("n = 1").drop("n")
-    fit = fresh2.join(alone, (fresh2["size"] == alone.o_size) & (fresh2.mtime_ns == alone.o_mtime))
-    fit = first(fit, "file_id", "path").select("path", F.lit("renamed").alias("class"), "file_id", "old_path")
+    alone = free2.groupBy("o_size", "o_mtime").agg(F.count("*").alias("n"), F.min("file_id").alias("file_id"), F.min("old_path").alias("old_path")).where("n = 1")
+    claims = fresh2.groupBy("size", "mtime_ns").agg(F.min("path").alias("path"))
+    fit = claims.join(alone, (F.col("size") == F.col("o_size")) & (F.col("mtime_ns") == F.col("o_mtime")))
+    fit = fit.select("path", F.lit("renamed").alias("class"), "file_id", "old_path")
 
     rest = fresh2.join(fit.select("path"), "path", "left_anti")
     rest = rest.select("path", F.lit("added").alias("class"), F.lit(None).cast("long").alias("file_id"), F.lit(None).cast("string").alias("old_path"))
