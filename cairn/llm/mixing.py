@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from cairn.llm.common import WORD, materialize
 
 GOLDEN = 0.6180339887498949
-#: Points ranked together, chunks of points numbered together, and what a step of so many points and chunks adds, reduced.
+#: Points ranked together, chunks of points numbered together and made in one task (at least), and what a step of so many points and chunks adds, reduced.
 POINTS_IN_CHUNK = 8192
 CHUNKS_IN_ROW = 8192
+CHUNKS_IN_TASK = 16
 _PHI = (Decimal(5).sqrt() - 1) / 2
 CHUNK_STEP = float(_PHI * POINTS_IN_CHUNK % 1)
 ROW_STEP = float(_PHI * POINTS_IN_CHUNK * CHUNKS_IN_ROW % 1)
@@ -92,7 +93,7 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     cell = F.explode(F.sequence(F.floor(F.col("lo") * n_cells), F.least(F.floor(F.col("hi") * n_cells), F.lit(n_cells - 1))))
     stretches = t.select("source", "lo", "hi", "blocks", cell.alias("cell"))
     chunks = -(-(2 * blocks + SPARE_POINTS) // POINTS_IN_CHUNK) if blocks else 0
-    points = targets.sparkSession.range(0, chunks, 1, max(1, min(chunks, 4096))).select(F.col("id").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(POINTS_IN_CHUNK - 1).cast("long"))).alias("i"))
+    points = targets.sparkSession.range(0, chunks, 1, max(1, min(chunks // CHUNKS_IN_TASK, 4096))).select(F.col("id").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(POINTS_IN_CHUNK - 1).cast("long"))).alias("i"))
     # Rows of chunks, chunks and points are reduced apart, so that large slot numbers keep their fractions.
     row = F.floor(F.col("chunk") / CHUNKS_IN_ROW)
     u = row * ROW_STEP % 1 + F.col("chunk") % CHUNKS_IN_ROW * CHUNK_STEP % 1 + F.col("i") * GOLDEN
