@@ -20,14 +20,17 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import give_back_memory
+
 #: Entries after which a worker's memo tables start anew: bounds memory, never results.
 MEMO_ENTRIES = 300_000
 #: Bytes of text after which a worker hands rows on.
-FLUSH_BYTES = 4_000_000
+FLUSH_BYTES = 3_000_000
 
 
 class PrefixBPE:
@@ -38,7 +41,8 @@ class PrefixBPE:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self._fits: dict[int, bool] = {}
-        self._chunks = _Memo(self._encode_chunk)
+        self._chunks = _Memo(lambda chunk: np.fromiter(self._encode_chunk(chunk.decode()), "<u4").tobytes())
+        self._token_bytes = pa.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)], pa.binary())
         self._pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode())))
         # Only a token that its own bytes merge to can come out of merges; others occur as whole pieces alone.
         self.merged = {b: i for b, i in ranks.items() if self.merge(b) == [i]}
@@ -110,14 +114,29 @@ class PrefixBPE:
         return tuple(chain.from_iterable(map(self._pieces.__getitem__, self.pattern.findall(chunk))))
 
     def encode(self, text: str) -> np.ndarray:
-        """All ids of a text. It is cut before each single blank that stands before a non-blank, where the pattern always cuts too; the chunks are memoised."""
-        if not text:
-            return np.zeros(0, "<u4")
-        chunks = _CUT.split(text)
+        """All ids of a text."""
+        return self.encode_batch(pa.array([text])).values.to_numpy().astype("<u4")
+
+    def encode_batch(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text (null: none). Texts are cut where the pattern always cuts; of each distinct chunk in the batch the ids are looked up once, and chunks are remembered."""
         self._chunks.bound()
         self._pieces.bound()
-        rest = map(self._chunks.__getitem__, map(" ".__add__, chunks[1:]))
-        return np.fromiter(chain(self._chunks[chunks[0]], chain.from_iterable(rest)), "<u4")
+        chunks, upto = cut(pc.fill_null(texts, ""))
+        coded = chunks.dictionary_encode()
+        raw, at = bytes(coded.dictionary.buffers()[2] or b""), np.frombuffer(coded.dictionary.buffers()[1], np.int32)[: len(coded.dictionary) + 1].tolist()
+        ids = [self._chunks[raw[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        known = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        found = known.take(coded.indices)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, found.offsets.to_numpy()[upto]], pa.int32()), found.values)
+
+    def decode_batch(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids."""
+        tokens = self._token_bytes.take(ids.values)
+        if not len(tokens):
+            return pa.array([b""] * len(ids), pa.binary())
+        at = np.frombuffer(tokens.buffers()[1], np.int32)[: len(tokens) + 1][ids.offsets.to_numpy()]
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.astype(np.int32)), tokens.buffers()[2]])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -126,9 +145,36 @@ class PrefixBPE:
         return EditableText(self, text)
 
 
-#: White space as Unicode has it; Python's own \s has four control characters more.
-_BLANK = r"\t-\r \x85\xa0  -     　"
-_CUT = re.compile(f" (?=[^{_BLANK}])")
+#: White space as Unicode has it, other than ASCII's: the bytes that follow each lead byte.
+_WIDE_BLANKS = {0xC2: ("\x85", "\xa0"), 0xE1: ("\u1680",), 0xE2: (*map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f"), 0xE3: ("\u3000",)}
+_ASCII_BLANK = np.zeros(256, bool)
+_ASCII_BLANK[[*range(9, 14), 32]] = True
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(chunks of all texts, how many chunks the texts up to and with each have). A text is cut before each single blank that stands before a non-blank, where the pattern always cuts too. texts: no nulls."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets.astype(np.int64) - offsets[0]
+    blank = np.flatnonzero(raw[:-1] == 32)
+    after = raw[blank + 1]
+    goes = ~_ASCII_BLANK[after]
+    padded = np.r_[raw, np.zeros(3, np.uint8)]
+    for lead, blanks in _WIDE_BLANKS.items():
+        at = np.flatnonzero(after == lead)
+        if len(at):
+            rest = [x.encode()[1:] for x in blanks]
+            code = padded[blank[at] + 2].astype(np.int64) << 8 | (padded[blank[at] + 3] if lead >= 0xE0 else 0)
+            goes[at] &= ~np.isin(code, [r[0] << 8 | (r[1] if len(r) > 1 else 0) for r in rest])
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[blank[goes]] = True
+    # A text's last blank stands before nothing, and every text begins a chunk.
+    lasts = offsets[1:] - 1
+    begins[lasts[(np.diff(offsets) > 0)]] &= raw[lasts[(np.diff(offsets) > 0)]] != 32
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(begins)
+    at = np.r_[starts, len(raw)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(raw))]), np.searchsorted(starts, offsets[1:])
 
 
 class _Memo(dict):
@@ -222,19 +268,20 @@ def encode_documents(df: DataFrame, ranks: bytes, pattern: str, text: str = "tex
     names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(shared, pattern)
+        bpe, flushes = _encoder(shared, pattern), 0
         for batch in batches:
-            source = batch.column(names.index(text))
-            begin, rows, pending = 0, ([], []), 0
-            for i in range(batch.num_rows):
-                got = bpe.encode(source[i].as_py() or "")
-                rows[0].append(got.tobytes())
-                if decoded:
-                    rows[1].append(bpe.decode(got))
-                pending += 4 * len(got)
-                if pending > FLUSH_BYTES or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, i + 1 - begin).columns, *(pa.array(r, pa.binary()) for r in rows[: len(new)])], [*names, *new])
-                    begin, rows, pending = i + 1, ([], []), 0
+            begin = 0
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(names.index(text))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            while begin < batch.num_rows:
+                stop = int(max(begin + 1, np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + FLUSH_BYTES)))
+                part = batch.slice(begin, stop - begin)
+                got = bpe.encode_batch(part.column(names.index(text)))
+                values = got.values.buffers()[1] if len(got.values) else pa.py_buffer(b"")
+                raw = pa.Array.from_buffers(pa.binary(), len(got), [None, pa.py_buffer(4 * got.offsets.to_numpy().astype(np.int32)), values])
+                yield pa.RecordBatch.from_arrays([*part.columns, raw, *([bpe.decode_batch(got)] if decoded else [])], [*names, *new])
+                begin, flushes = stop, flushes + 1
+                if flushes % 4 == 0:
+                    give_back_memory()
 
     fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema)
     return df.mapInArrow(work, fields + "".join(f", `{c}` binary" for c in new))
