@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from cairn.llm.common import give_back_memory
 
 #: Entries after which a worker's memo tables start anew: bounds memory, never results.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 250_000
 #: Bytes of text after which a worker hands rows on.
-FLUSH_BYTES = 3_000_000
+FLUSH_BYTES = 2_000_000
 
 
 class PrefixBPE:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words after which a worker's memo starts anew: bounds memory, never results.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
