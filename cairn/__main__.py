@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from cairn.engine import Answer, Engine
     from cairn.operators.fresh import DELTA_LIMIT
-    from cairn.plans.policy import ExcludePolicy, TextPolicy, ignore_patterns
+    from cairn.plans.policy import ExcludePolicy, TextPolicy, ignore_patterns, missing_prefixes
     from cairn.report import Outcome
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -92,6 +92,8 @@ def main(argv: list[str] | None = None) -> int:
                 with open(os.path.join(a.root, ".gitignore"), encoding="utf-8", errors="replace") as f:
                     ignored = ignore_patterns(f.read())
             out = e.index(a.root, ExcludePolicy.build(a.exclude, a.exclude_prefix, not a.no_default_excludes, ignored, a.skip_hidden))
+            if absent := missing_prefixes(a.exclude_prefix):
+                out.notice = f"no such directories, nothing is excluded by them: {', '.join(absent)}"
         elif a.command == "hash":
             out = e.hash(a.max_size)
         elif a.command == "fulltext":

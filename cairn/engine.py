@@ -10,7 +10,7 @@ import re
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.adapters import FILES
@@ -42,6 +42,11 @@ class Answer:
         return [event(kind, **(r.asDict(True) if hasattr(r, "asDict") else r)) for r in self.rows] + [event(f"{kind}_summary", outcome=int(self.outcome), notice=self.notice, **self.report)]
 
 
+def _looked_up(page: list[Row]) -> list[Row]:
+    """The rows of a page (not of a selection) with whether each path is there now."""
+    return [Row(**r.asDict(), there=bool(r.path) and os.path.exists(r.path)) for r in page]
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.store = spark, Store(spark, root)
@@ -213,7 +218,7 @@ class Engine:
 
     def find(self, text: str, limit: int = 20, fresh_answer: bool = True) -> Answer:
         changes, notice = self.delta() if fresh_answer else (None, stale_notice(None, Marker.decode(self.store.meta("marker") or ""), False, ""))
-        rows = (scan.find_paths(self.files(), text, limit) if changes is None else fresh.find(self.files(), changes, text, limit)).collect()
+        rows = _looked_up((scan.find_paths(self.files(), text, limit) if changes is None else fresh.find(self.files(), changes, text, limit)).collect())
         return Answer(Outcome.ANSWER if rows else Outcome.EMPTY, rows, {"n": len(rows)}, notice)
 
     def search_index(self, query: str, limit: int = 10, snippet_chars: int = 160) -> Answer:
@@ -247,6 +252,7 @@ class Engine:
             page = fresh.search(hits, self.files(), changes, bodies, query, limit)
             page = page.join(indexed.withColumnRenamed("body", "old"), "file_id", "left").join(bodies, "path", "left").withColumn("body", F.coalesce("body", "old")).orderBy("place")
         rows = page.select(*[c for c in page.columns if c not in ("body", "old")], fulltext.snippet(F.col("body"), list(terms), snippet_chars).alias("snippet")).collect()
+        rows = _looked_up(rows)
         stages = {"probe": round(probed - began, 3), "page": round(time.monotonic() - probed, 3)}
         return Answer(Outcome.ANSWER if rows else Outcome.EMPTY, rows, {"n": len(rows), "stages": stages}, notice or unlike)
 
@@ -260,7 +266,7 @@ class Engine:
         else:
             found = tags.files_with(t, [parse_tag(w) for w in words])
             page = scan.live(self.files()).join(found, "file_id", "left_semi").select("file_id", "path").orderBy("file_id").limit(limit).collect()
-            rows = [{**r.asDict(), "there": os.path.exists(r.path)} for r in page]  # a page, not the selection
+            rows = _looked_up(page)
         return Answer(Outcome.ANSWER if rows else Outcome.EMPTY, rows, {"n": len(rows), "behind": self._behind()}, self.probe() if fresh_answer else None)
 
     def _behind(self) -> int:

@@ -38,6 +38,20 @@ def journal_last(records: DataFrame) -> DataFrame:
     return last.select("path", F.col("r.usn").alias("usn"), F.col("r.reason").alias("reason"), (F.col("r.reason") != "delete").alias("exists"))
 
 
+def journal_range(records: DataFrame, after_usn: int, upto_usn: int | None = None) -> DataFrame:
+    """Records past the marker, up to where the journal stood when the read began."""
+    out = records.where(F.col("usn") > after_usn)
+    return out if upto_usn is None else out.where(F.col("usn") <= upto_usn)
+
+
+def journal_paths(records: DataFrame, folders: DataFrame) -> DataFrame:
+    """Records (number, parent, name, usn, reason, code) with path and why there is none: their folder's path (folders: number, path) and name; where no folder has the parent's number, the code that the system gives for it says whether it is gone or unresolved. Folders are met by number, hot or not: AQE splits those with many records."""
+    f = folders.select(F.col("number").alias("parent"), F.col("path").alias("folder")).dropDuplicates(["parent"])
+    out = records.join(f, "parent", "left")
+    path = F.concat(F.regexp_replace("folder", "/+$", ""), F.lit("/"), F.col("name"))
+    return out.select("number", path.alias("path"), "usn", "reason", F.when(F.col("folder").isNull(), frn_class(F.col("code"))).alias("missing"))
+
+
 def frn_class(code: Column) -> Column:
     """Why a parent directory's number does not resolve: gone, or unresolved."""
     return F.when(code.isin(2, 3, 87), F.lit("gone")).otherwise(F.lit("unresolved"))
@@ -63,7 +77,7 @@ def noise_ratio(changes: DataFrame, excluded: Column) -> DataFrame:
 
 
 def drop_class(hits: DataFrame, changes: DataFrame, stored: DataFrame) -> DataFrame:
-    """Index hits (file_id, path, score) with why each is dropped: deleted, changed, or null for what stays."""
+    """Index hits (file_id, path, score) with why each is dropped: deleted, changed, or null for what stays. Whether a file is on disk is looked at for a page alone (the engine)."""
     d = changes.select("path", F.col("exists").alias("there"))
     dead = stored.where(F.col("deleted_at").isNotNull()).select("file_id", F.lit(True).alias("dead"))
     out = hits.join(d, "path", "left").join(dead, "file_id", "left")

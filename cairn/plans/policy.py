@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
 import re
 import tomllib
 from dataclasses import dataclass, field
@@ -14,6 +16,17 @@ def normalised_ext(ext: str) -> str:
     return ext.strip().lstrip(".").lower()
 
 
+def canonical_prefix(prefix: str) -> str:
+    """A prefix as paths of a crawl begin: without a last slash, doubled slashes, `.` and `..`."""
+    p = prefix.strip()
+    return posixpath.normpath(p).replace("//", "/") if p.startswith("/") else p.rstrip("/")
+
+
+def missing_prefixes(prefixes: list[str]) -> list[str]:
+    """Prefixes that a user named and that are no directory here: they exclude nothing, which is said."""
+    return [p for p in prefixes if p.startswith("/") and not os.path.isdir(p)]
+
+
 @dataclass(frozen=True)
 class ExcludePolicy:
     """Directory names, absolute prefixes, ignore patterns of a root file (directories only)."""
@@ -26,7 +39,7 @@ class ExcludePolicy:
     @classmethod
     def build(cls, extra: list[str] = (), prefixes: list[str] = (), defaults: bool = True, ignored: list[str] = (), skip_hidden: bool = False) -> ExcludePolicy:
         names = dict.fromkeys([*(fixed.EXCLUDED_NAMES if defaults else []), *(e.strip() for e in extra)])
-        paths = dict.fromkeys([*(fixed.EXCLUDED_PREFIXES if defaults else []), *(p.rstrip("/") for p in prefixes)])
+        paths = dict.fromkeys([*(fixed.EXCLUDED_PREFIXES if defaults else []), *map(canonical_prefix, prefixes)])
         out = cls(tuple(names), tuple(paths), tuple(ignored), skip_hidden)
         out.validate()
         return out

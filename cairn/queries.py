@@ -654,6 +654,16 @@ def journal_last_wins(spark, d):
     return fresh.journal_last(A.journal(spark, d))
 
 
+@query("""WITH r AS (SELECT event_id AS number, user_id % 40 AS parent, 'f' || CAST(event_id AS VARCHAR) AS name, event_id AS usn, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 5 END AS code FROM events WHERE event_id > 100 AND event_id <= 900),
+p AS (SELECT n_nationkey AS parent, '/vol/' || n_name AS folder FROM nation)
+SELECT number, folder || '/' || name AS path, usn, CASE WHEN folder IS NULL THEN CASE WHEN code = 2 THEN 'gone' ELSE 'unresolved' END END AS missing FROM r LEFT JOIN p USING (parent)""")
+def journal_paths(spark, d):
+    e = A.table(spark, d, "events")
+    records = e.select(F.col("event_id").alias("number"), (F.col("user_id") % 40).alias("parent"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("name"), F.col("event_id").alias("usn"), F.lit("create").alias("reason"), F.when(F.col("user_id") % 3 == 0, 2).otherwise(5).alias("code"))
+    folders = A.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("number"), F.concat(F.lit("/vol/"), F.col("n_name"), F.lit("/")).alias("path"))
+    return fresh.journal_paths(fresh.journal_range(records, 100, 900), folders).select("number", "path", "usn", "missing")
+
+
 @query(f"WITH {DELTA}, h AS (SELECT file_id, path FROM files WHERE contains(path, 'src1')) SELECT h.file_id, h.path, CASE WHEN d.there = false THEN 'deleted' WHEN d.there THEN 'changed' WHEN h.file_id % 10 = 4 THEN 'deleted' END AS dropped FROM h LEFT JOIN delta d USING (path)")
 def fresh_drop_class(spark, d):
     files, changes = _delta(spark, d)

@@ -36,7 +36,7 @@ def test_commands(engine):
     assert {os.path.basename(r.path) for r in found.rows} == {"invoice-2024-03-15_v2.txt", "notes.md"} and all("hello" in r.snippet for r in found.rows) and found.notice
     assert e.search("nothinglikeit", fresh_answer=False).outcome == Outcome.EMPTY
     assert e.tag('[[tags.rule]]\npath = "clients/**"\ntags = "area:clients"\n').outcome == Outcome.ANSWER
-    assert {r["path"].rsplit("/", 1)[-1] for r in e.tags(["area:clients", "version:final"]).rows} == {"plan_final.txt"}
+    assert {r.path.rsplit("/", 1)[-1] for r in e.tags(["area:clients", "version:final"]).rows} == {"plan_final.txt"}
     assert [r.value for r in e.tags(["version:"]).rows] == ["final", "v2"]
     explained = e.explain(str(root / "clients/beta/plan_final.txt"))
     assert explained.rows and all(r.stored == r.now for r in explained.rows)
@@ -85,7 +85,7 @@ def test_layers_and_probes(spark, tmp_path):
     (root / "bb/two.txt").unlink()
     time.sleep(1.1)  # the change set is kept for a second
     assert "2 files have changed" in e.browse([]).notice and "2 files" in e.tags([]).notice
-    assert [r["there"] for r in e.tags(["ext:txt", "path:bb"], fresh_answer=False).rows] == [False]
+    assert [r.there for r in e.tags(["ext:txt", "path:bb"], fresh_answer=False).rows] == [False]
     assert e.refresh().report["touched"] == 2
     assert [os.path.basename(r.path) for r in e.search_index("delta").rows] == ["one.txt"] and e.search_index("gamma").outcome == Outcome.EMPTY
     told = e.status(check_journal=True).report["journal"]
@@ -100,7 +100,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "cairn.toml").write_text('[text]\nbinary = ["log"]\n[[tags.rule]]\npath = "notes/**"\ntags = "area:notes"\n')
     monkeypatch.chdir(tmp_path)
     db = ["--db", str(tmp_path / "db")]
-    assert main([*db, "index", str(tmp_path / "r"), "--use-gitignore", "--skip-hidden"]) == 0
+    assert main([*db, "index", str(tmp_path / "r"), "--use-gitignore", "--skip-hidden", "--exclude-prefix", "/no/such//dir/"]) == 0
     assert main([*db, "fulltext"]) == 0 and main([*db, "tag", "--no-read-embedded", "--magic-max-size", "100"]) == 0
     assert main([*db, "search", "hello", "--no-fresh", "-n", "5", "--snippet-chars", "40"]) == 0
     assert main([*db, "search", "log", "--no-db"]) == 1

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import fulltext, scan
-from cairn.plans.policy import Marker, TextPolicy, ignore_patterns, journal_probe, source_for
+from cairn.plans.policy import ExcludePolicy, Marker, TextPolicy, ignore_patterns, journal_probe, missing_prefixes, source_for
 from cairn.sources import documents, fs, shared
 from cairn.sources.pdf import Pdf, PdfError, text_string
 from cairn.sources.store import Conflict, Store, behind
@@ -122,6 +122,12 @@ def test_exclusions_of_the_system(spark):
     assert [tuple(r) for r in scan.mark_deleted(scan.mark_deleted(files, 1, 7), 2, 7).orderBy("file_id").collect()] == [(1, 7), (2, 5)]
 
 
+def test_prefixes():
+    p = ExcludePolicy.build(prefixes=["/a//b/../c/", "/x/", "//y"], defaults=False)
+    assert p.prefixes == ("/a/c", "/x", "/y")
+    assert missing_prefixes(["/no/such/dir", "/", "rel"]) == ["/no/such/dir"]
+
+
 def test_change_sources():
     usn, mtime = Marker("usn", 1, 2, 3, 4, "C:"), Marker("mtime", 5)
     assert [source_for(m, j, f) for m, j, f in ((None, True, None), (usn, True, None), (usn, False, None), (mtime, True, None), (usn, True, "mtime"))] == ["none", "usn", "mtime", "mtime", "mtime"]
