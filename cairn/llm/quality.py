@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import give_back_memory
+
 #: Hashed terms, latent dimensions, labelled rows fitted on and compared with, voters, and the power of their similarity.
 TERMS = 1024
 DIMENSIONS = 32
@@ -125,6 +127,7 @@ def score_documents(docs: DataFrame, voters: Voters) -> DataFrame:
                 b = batch.slice(begin, BLOCK)
                 x = np.stack([terms(t.as_py()) for t in b.column(names.index("text"))])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(shared.value.score(x), 6))], [*names, "score"])
+        give_back_memory()
 
     fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in docs.schema)
     return docs.mapInArrow(work, f"{fields}, score double")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import cells
-from cairn.llm.common import discard, materialize
+from cairn.llm.common import discard, give_back_memory, materialize
 from cairn.llm.components import connected_components
 from cairn.llm.shingles import MULTIPLIER, mixed, shingle_set
 
@@ -119,6 +119,7 @@ def _sketched(k: int):
                     ["row", "doc_id", "n_shingles", "same", "registers"],
                 )
                 begin = stop
+        give_back_memory()
 
     return work
 
@@ -232,6 +233,7 @@ def _linked(words: int, threshold: float):
                 keep = np.array([_similar(sets[p], sets[q], threshold) for p, q in zip(x.tolist(), y.tolist(), strict=True)], bool)
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([pa.array(member[x[keep]]), pa.array(member[y[keep]])], ["a", "b"])
+        give_back_memory()
 
     return work
 
@@ -252,6 +254,7 @@ def _confirmed(k: int, threshold: float):
             for s, t in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
                 keep.append(_similar(shingle_set(s.as_py(), k), shingle_set(t.as_py(), k), threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back_memory()
 
     return work
 
