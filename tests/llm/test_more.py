@@ -219,3 +219,13 @@ def test_queries_are_whole(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op2_fm_index_dedup", "op4_token_store", "op9_licence_scan", "op10_setsketch_duplicates"):
         assert QUERIES[name](spark, sf_dir).count() == n
+
+
+def test_no_shared_folder_is_an_error():
+    from types import SimpleNamespace as N
+
+    from cairn.llm.common import shared_dir
+
+    held = N(getCheckpointDir=lambda: N(isDefined=lambda: False))
+    with pytest.raises(ValueError):
+        shared_dir(N(conf=N(get=lambda key, default: default), sparkContext=N(master="spark://host:7077", _jsc=N(sc=lambda: held))))
