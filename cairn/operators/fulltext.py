@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from cairn.plans.search import Clauses, LiveTerms, Terms, parse
 
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}]+"
+#: Parts into which a word's documents are dealt, and words that are grouped at once.
+SPREAD = 16
+WORDS_AT_ONCE = 1_000_000
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 
 
@@ -45,16 +51,44 @@ class TextIndex:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """term, file_id, tf, dl, positions. One row for each word of each document, so a common word is spread over its documents."""
-    # The words stand behind a generator, so that they are cut once.
-    t = docs.select("file_id", F.explode(F.array(tokens(F.col("body")))).alias("t"))
-    t = t.select("file_id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
-    return t.groupBy("term", "file_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """term, file_id, tf, dl, positions. One row for each word of each document, so a common word is spread over its documents. All words of a document stand in one row, so that they are grouped without a shuffle, batch by batch: words are numbered, and one sort of (document, word) brings the places of each word together."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column("t")
+            n = np.diff(t.offsets.to_numpy())
+            for begin, stop in _bounds(n):
+                lists = t.slice(begin, stop - begin)
+                dl = n[begin:stop]
+                words = lists.flatten().dictionary_encode()
+                doc = np.repeat(np.arange(len(dl)), dl)
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(dl) - dl, dl)
+                word = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                by = np.argsort(doc * max(1, len(words.dictionary)) + word, kind="stable")  # places stay in order
+                doc, word, pos = doc[by], word[by], pos[by]
+                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]) if len(doc) else np.zeros(0, np.int64)
+                tf = np.diff(np.r_[first, len(doc)])
+                places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)], pa.int32()), pa.array(pos, pa.int32()))
+                ids = batch.column("file_id").slice(begin, stop - begin).take(pa.array(doc[first]))
+                columns = [words.dictionary.take(pa.array(word[first])), ids, pa.array(tf, pa.int64()), pa.array(dl[doc[first]], pa.int32()), places]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "file_id", "tf", "dl", "positions"])
+
+    t = docs.select(F.col("file_id").cast("long").alias("file_id"), tokens(F.col("body")).alias("t")).where("t is not null")
+    return t.mapInArrow(work, "term string, file_id bigint, tf bigint, dl int, positions array<int>")
+
+
+def _bounds(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows that hold about WORDS_AT_ONCE words together, or one row."""
+    sums, begin = np.cumsum(n), 0
+    while begin < len(n):
+        stop = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + WORDS_AT_ONCE, "right")))
+        yield begin, stop
+        begin = stop
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Postings by ranges of term and document, for files whose statistics tell the terms; a word in many documents takes several ranges."""
-    return rows.repartitionByRange("term", "file_id").sortWithinPartitions("term", "file_id")
+    """Postings sorted by term and document in each file, for row groups whose statistics tell their terms. A word's documents are dealt into SPREAD parts, so that a word in all documents is not one task; no pass over the postings is needed to find ranges."""
+    return rows.repartition("term", F.pmod(F.xxhash64("file_id"), F.lit(SPREAD))).sortWithinPartitions("term", "file_id")
 
 
 def term_counts(index: DataFrame) -> DataFrame:
