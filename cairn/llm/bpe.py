@@ -121,7 +121,7 @@ class PrefixBPE:
         """The ids of each text (null: none). Texts are cut where the pattern always cuts; of each distinct chunk in the batch the ids are looked up once, and chunks are remembered."""
         self._chunks.bound()
         self._pieces.bound()
-        chunks, upto = cut(pc.fill_null(texts, ""))
+        chunks, upto = cut(pc.fill_null(texts.cast(pa.string()), ""))
         coded = chunks.dictionary_encode()
         raw, at = bytes(coded.dictionary.buffers()[2] or b""), np.frombuffer(coded.dictionary.buffers()[1], np.int32)[: len(coded.dictionary) + 1].tolist()
         ids = [self._chunks[raw[a:b]] for a, b in zip(at[:-1], at[1:], strict=True)]

@@ -163,7 +163,7 @@ class ChunkEncoder:
 
     def encode_batch(self, texts: pa.Array, end_id: int) -> pa.ListArray:
         """A list of ids for each text (null: empty), the end id last."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         named = _named(texts) if self.cuts else np.ones(len(texts), bool)
         end = end_id.to_bytes(4, "little")
         if named.all():
