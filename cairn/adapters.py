@@ -13,9 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of texts, which one row group may hold whole, dealt over all cores; a table of as many partitions as cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def document_files(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame:
     """documents as a text corpus in folders by source and language."""
     d = table(spark, sf_dir, "documents")
+    d = spread(d) if body else d
     path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
     ns = F.col("doc_id") * 1_000_000_000
     out = d.select(
@@ -26,7 +33,7 @@ def document_files(spark: SparkSession, sf_dir: str, body: bool = False) -> Data
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("body"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("body")))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:

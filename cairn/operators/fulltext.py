@@ -30,7 +30,7 @@ def tokens(body: Column) -> Column:
         split = F.rlike(run, F.lit(f"^[{CJK}]")) & (F.length(run) > 1)
         return F.when(split, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))).otherwise(F.array(run))
 
-    return F.when(F.rlike(low, F.lit(f"[{CJK}]")), F.flatten(F.transform(runs, pairs))).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
+    return F.when(F.rlike(body, F.lit(f"[{CJK}]")), F.flatten(F.transform(runs, pairs))).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
 
 
 def token_stats(docs: DataFrame) -> DataFrame:

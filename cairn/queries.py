@@ -472,7 +472,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN sourc
 SELECT file_id, namespace, CAST(count_if(place <= 64) AS BIGINT) AS n_kept, CAST(count_if(place > 64) AS BIGINT) AS n_dropped FROM r GROUP BY ALL""")
 def tag_cap(spark, d):
     words = F.array_distinct(F.transform(F.split("text", "[^A-Za-z]+"), F.lower))
-    w = A.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.explode(words).alias("value"))
+    w = A.spread(A.table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("file_id"), F.explode(words).alias("value"))
     n = F.length("value")
     namespace = F.when(n % 5 == 0, F.lit("topic")).when(n % 5 == 1, F.lit("kind")).otherwise(F.lit("path"))
     t = w.where(n.between(1, 128)).withColumn("namespace", namespace).withColumn("sources", F.when(n % 7 == 0, 16).otherwise(1))
