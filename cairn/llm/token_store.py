@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from operator import itemgetter
@@ -37,8 +36,9 @@ LAYOUT = {
     "parquet.writer.version": "v2",
     "compression": "snappy",
 }
-#: Chunks that a worker remembers, chunks encoded at once, and bytes of text after which rows are handed on: they bound memory alone.
+#: Chunks that a worker remembers and their bytes, chunks encoded at once, and bytes of text after which rows are handed on: they bound memory alone.
 MEMO_ENTRIES = 350_000
+MEMO_BYTES = 64_000_000
 CHUNKS_AT_ONCE = 2_000
 FLUSH_BYTES = 3_000_000
 
@@ -48,8 +48,6 @@ CUT_KIND = {
     "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
     "end": "</w>",
 }
-#: Bare words: what the vocabulary's rules leave as it is and take for one word.
-_BARE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Classes of bytes: white space, letters (of Latin-1 the two bytes together), digits, ASCII punctuation, the apostrophe, all others.
 _SPACE, _LETTER, _DIGIT, _PUNCTUATION, _QUOTE, _OTHER = range(6)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -66,7 +64,9 @@ _CUT[_PUNCTUATION, [_LETTER, _DIGIT]] = True
 _CUT[_QUOTE, _DIGIT] = True
 _CUT[_SPACE, :] = True
 _CUT[:, _SPACE] = True
-_CUT = _CUT.ravel()
+#: The same as tables for bytes.translate: of a byte's class, of 6 * one class + the next, and the blanks.
+_CLASS_TABLE, _CUT_TABLE = _CLASS.tobytes(), _CUT.tobytes().ljust(256, b"\0")
+_BLANKS = np.flatnonzero(_CLASS == _SPACE).astype(np.uint8).tobytes()
 
 
 def can_cut(content: str) -> bool:
@@ -85,24 +85,26 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(chunks of all texts, with an empty one after each text; how many chunks the texts up to and with each have). texts: no nulls."""
     raw, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     raw, offsets = raw[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
-    kind = _CLASS[raw]
+    plain = bytearray(raw)
+    kind = np.frombuffer(plain.translate(_CLASS_TABLE), np.uint8)
     lead = np.flatnonzero(raw[:-1] == 0xC3)
     lead = lead[(raw[lead + 1] >= 0x80) & (raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
     kind[lead] = kind[lead + 1] = _LETTER
     begins = np.ones(len(raw), bool)
-    begins[1:] = _CUT[kind[:-1] * np.uint8(6) + kind[1:]]
+    begins[1:] = np.frombuffer((kind[:-1] * np.uint8(6) + kind[1:]).tobytes().translate(_CUT_TABLE), bool)
     begins[offsets[:-1][np.diff(offsets) > 0]] = True
-    solid = kind != _SPACE
-    ends = offsets[1:] - np.searchsorted(np.flatnonzero(~solid), offsets[1:])
-    starts = np.flatnonzero(begins[solid])
+    blank = kind == _SPACE
+    begins &= ~blank
+    ends = offsets[1:] - np.searchsorted(np.flatnonzero(blank), offsets[1:])
+    starts = np.flatnonzero(begins)
+    starts -= np.cumsum(blank, dtype=np.int32)[starts]
     upto = np.searchsorted(starts, ends)
     at = np.r_[np.insert(starts, upto, ends), ends[-1:]].astype(np.int32)
-    body = raw[solid]
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(body)]), upto + np.arange(1, len(ends) + 1)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(plain.translate(None, _BLANKS))]), upto + np.arange(1, len(ends) + 1)
 
 
 class ChunkEncoder:
-    """Encodes whole texts with a tokenizers vocabulary. Texts are cut where its rules allow (see can_cut), and the ids of chunks are remembered as bytes; texts of other vocabularies, and texts that name a special token, go to the library whole."""
+    """Encodes whole texts with a tokenizers vocabulary. Texts are cut where its rules allow (see can_cut), and the ids of chunks are remembered; texts of other vocabularies, and texts that name a special token, go to the library whole."""
 
     def __init__(self, content: str) -> None:
         from tokenizers import Tokenizer
@@ -110,8 +112,9 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(content)
         self.cuts = can_cut(content)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.end_id = -1
+        self.known: _Memo | dict = {}
+        self.old: _Memo | dict = {}
         if self.cuts:
             # The same model behind no rules but white space: for words that the rules leave as they are.
             d = json.loads(content)
@@ -123,43 +126,46 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        words, rest = [], []
-        for c in chunks:
-            (words if _BARE.fullmatch(c) else rest).append(c)
+    def _learn(self, chunks: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+        """(an order of the chunks, the ids of the chunks in that order)."""
+        lengths = np.diff(_offsets(chunks))
+        bare = _bare(chunks)
+        order = [np.flatnonzero(lengths == 0), np.flatnonzero(bare), np.flatnonzero(~bare & (lengths > 0))]
+        ids, ends = [np.full(len(order[0]), self.end_id, np.int32)], [np.arange(len(order[0]) + 1)]
+        words, rest = (chunks.take(pa.array(x)) for x in order[1:])
         for i in range(0, len(words), CHUNKS_AT_ONCE):
             some = words[i : i + CHUNKS_AT_ONCE]
-            ids = np.array(self.bare.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            ids.append(np.array(self.bare.encode_batch_fast([_joined(some)], add_special_tokens=False)[0].ids, np.int32))
+            ends.append(np.flatnonzero(self.ends[ids[-1]]) + 1 + ends[-1][-1])
+            if len(ends[-1]) != len(some):
+                raise ValueError("words and their ends differ in number")
         for i in range(0, len(rest), CHUNKS_AT_ONCE):
-            some = [c.decode() for c in rest[i : i + CHUNKS_AT_ONCE]]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
+            some = rest[i : i + CHUNKS_AT_ONCE]
+            got = self.tokenizer.encode(_joined(some), add_special_tokens=False)
+            ids.append(np.array(got.ids, np.int32))
             at = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(got.offsets))
-            ends = (4 * np.searchsorted(at, np.cumsum([len(c) + 1 for c in some]))).tolist()
-            self.known.update((c.encode(), raw[a:b]) for c, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+            letters = pc.utf8_length(some.cast(pa.string())).to_numpy(zero_copy_only=False)
+            ends.append(np.searchsorted(at, np.cumsum(letters + 1)) + ends[-1][-1])
+        return np.concatenate(order), pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(ids)))
 
-    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+    def _ids(self, chunks: pa.Array) -> pa.ListArray:
         """The ids of distinct chunks."""
-        if len(self.known) > MEMO_ENTRIES:  # what is asked for again comes over from the old ones
+        if self.known and (len(self.known) > MEMO_ENTRIES or self.known.nbytes > MEMO_BYTES):  # what is asked for again comes over from the old ones
             self.old, self.known = self.known, {}
-        out = list(map(self.known.get, chunks))
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        if missing:
-            new = []
-            for i in missing:
-                c = chunks[i]
-                ids = self.old.get(c)
-                if ids is None:
-                    new.append(c)
-                else:
-                    self.known[c] = ids
-            self._learn(new)
-            for i in missing:
-                out[i] = self.known[chunks[i]]
-        return out
+        self.known = self.known or _Memo()
+        hashes = _hashes(chunks)
+        place = self.known.find(hashes, chunks)
+        missing = np.flatnonzero(place < 0)
+        if len(missing) and self.old:
+            there = self.old.find(hashes[missing], chunks.take(pa.array(missing)))
+            again = missing[there >= 0]
+            place[again] = self.known.add(hashes[again], chunks.take(pa.array(again)), self.old.ids.take(pa.array(there[there >= 0])))
+            missing = missing[there < 0]
+        if len(missing):
+            order, ids = self._learn(chunks.take(pa.array(missing)))
+            missing = missing[order]
+            place[missing] = self.known.add(hashes[missing], chunks.take(pa.array(missing)), ids)
+        return self.known.ids.take(pa.array(place))
 
     def encode_batch(self, texts: pa.Array, end_id: int) -> pa.ListArray:
         """A list of ids for each text (null: empty), the end id last."""
@@ -172,9 +178,9 @@ class ChunkEncoder:
         plain = pc.if_else(pa.array(named), "", texts) if named.any() else texts
         chunks, upto = cut(pc.ascii_lower(plain))
         coded = chunks.dictionary_encode()
-        distinct = _values(coded.dictionary)
-        self.known[b""] = end
-        ids = _lists(self._ids(distinct)).take(coded.indices)
+        if end_id != self.end_id:  # an empty chunk's id
+            self.end_id, self.known, self.old = end_id, {}, {}
+        ids = self._ids(coded.dictionary).take(coded.indices)
         offsets = ids.offsets.to_numpy()
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, offsets[upto]], pa.int32()), ids.values)
         if not named.any():
@@ -191,10 +197,89 @@ def _named(texts: pa.Array) -> np.ndarray:
     return np.asarray(pc.match_substring(texts, "<|")) if bytes(raw).find(b"<|") >= 0 else np.zeros(len(texts), bool)
 
 
-def _values(binary: pa.Array) -> list[bytes]:
-    """The values of a binary array that starts at its buffer's first byte."""
-    raw, at = bytes(binary.buffers()[2] or b""), np.frombuffer(binary.buffers()[1], np.int32)[: len(binary) + 1].tolist()
-    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+def _offsets(binary: pa.Array) -> np.ndarray:
+    return np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1]
+
+
+def _bytes(binary: pa.Array) -> np.ndarray:
+    """The bytes that an array's offsets count into."""
+    return np.frombuffer(binary.buffers()[2] or b"", np.uint8)
+
+
+def _joined(chunks: pa.Array) -> str:
+    """The chunks with a space between each two."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks.cast(pa.string())), " ")[0].as_py()
+
+
+def _bare(chunks: pa.Array) -> np.ndarray:
+    """Which chunks are bare words: what the vocabulary's rules leave as it is and take for one word, a-z and the lower letters of Latin-1."""
+    at = _offsets(chunks)
+    raw = _bytes(chunks)[: at[-1]]
+    odd = (raw < 97) | (raw > 122)
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] >= 0x9F) & (raw[lead + 1] <= 0xBF) & (raw[lead + 1] != 0xB7)]
+    odd[lead] = odd[lead + 1] = False
+    before = np.searchsorted(np.flatnonzero(odd), at)
+    return (before[1:] == before[:-1]) & (at[1:] > at[:-1])
+
+
+def _hashes(chunks: pa.Array) -> np.ndarray:
+    """A number for each chunk, of its length and its first and last eight bytes: chunks that share one are told apart by their bytes."""
+    at = _offsets(chunks).astype(np.int64)
+    raw = np.zeros(at[-1] + 16, np.uint8)
+    raw[8:-8] = _bytes(chunks)[: at[-1]]
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    lengths = np.diff(at).astype(np.uint64)
+    spare = np.uint64(8) * (np.uint64(8) - np.minimum(lengths, np.uint64(8)))
+    first, last = eight[at[:-1] + 8], eight[at[1:]]
+    first = np.where(lengths > 0, (first << spare) >> spare, np.uint64(0))
+    last = np.where(lengths > 0, last >> spare, np.uint64(0))
+    h = first * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h = (h + last * np.uint64(0xC2B2AE3D27D4EB4F) + lengths) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+class _Memo:
+    """Chunks and their ids in flat arrays, found by their hashes and compared byte by byte."""
+
+    def __init__(self) -> None:
+        self.hashes, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)  # by hash: where its chunk stands
+        self.chunks, self.ids = pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))
+
+    def __len__(self) -> int:
+        return len(self.chunks)
+
+    @property
+    def nbytes(self) -> int:
+        return self.chunks.nbytes + self.ids.nbytes
+
+    def find(self, hashes: np.ndarray, chunks: pa.Array) -> np.ndarray:
+        """Where each chunk stands, or -1."""
+        if not len(self):
+            return np.full(len(hashes), -1)
+        order = np.argsort(hashes)
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.searchsorted(self.hashes, hashes[order])
+        at[at == len(self.hashes)] = 0
+        place = np.where(self.hashes[at] == hashes, self.places[at], -1).astype(np.int64)
+        there = np.flatnonzero(place >= 0)
+        same = pc.equal(self.chunks.take(pa.array(place[there])), chunks.take(pa.array(there)))
+        place[there[~same.to_numpy(zero_copy_only=False)]] = -1
+        return place
+
+    def add(self, hashes: np.ndarray, chunks: pa.Array, ids: pa.ListArray) -> np.ndarray:
+        """Where the chunks, which are not here yet, stand from now on. Of chunks with one hash the first is found again."""
+        place = len(self) + np.arange(len(chunks))
+        self.chunks, self.ids = pa.concat_arrays([self.chunks, chunks]), pa.concat_arrays([self.ids, ids])
+        new, first = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.hashes, new)
+        fresh = np.ones(len(new), bool)
+        inside = at < len(self.hashes)
+        fresh[inside] = self.hashes[at[inside]] != new[inside]
+        self.hashes = np.insert(self.hashes, at[fresh], new[fresh])
+        self.places = np.insert(self.places, at[fresh], place[first[fresh]])
+        return place
 
 
 def _lists(ids: list[bytes]) -> pa.ListArray:

@@ -41,6 +41,40 @@ def test_chunks_have_the_texts_ids():
         token_store.MEMO_ENTRIES = token_store_memo
 
 
+def test_remembered_chunks_are_no_objects():
+    import gc
+    import sys
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(9)) for _ in range(20_000)]
+    ours = token_store.ChunkEncoder(_vocabulary())
+    ours.encode_batch(pa.array(["some words"]), 2)
+    gc.collect()
+    before = sys.getallocatedblocks()
+    first = ours.encode_batch(pa.array([" ".join(words)]), 2)
+    gc.collect()
+    assert sys.getallocatedblocks() - before < len(words) / 2
+    assert ours.encode_batch(pa.array([" ".join(words)]), 2).equals(first)
+
+
+def test_chunks_of_one_hash_and_other_end_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    theirs, ours = Tokenizer.from_str(_vocabulary()), token_store.ChunkEncoder(_vocabulary())
+    texts = [f"abcdefgh{x}stuvwxyz, {x}" for x in ("one", "two", "six", "", "one", "\xdf\xe9", "\xc9!")] + ["", "a" * 5000, "six"]
+    want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    hashes = token_store._hashes(pa.array([b"abcdefghonestuvwxyz", b"abcdefghtwostuvwxyz", b"", b"a"]))
+    assert hashes[0] == hashes[1] and len(set(hashes.tolist())) == 3
+    for end, bound in ((2, 64_000_000), (2, 64_000_000), (7, 64_000_000), (7, 10), (7, 10), (2, 10)):
+        monkeypatch.setattr(token_store, "MEMO_BYTES", bound)
+        assert ours.encode_batch(pa.array(texts), end).to_pylist() == [[*ids, end] for ids in want]
+        assert ours.encode_batch(pa.array(texts[1:2]), end).to_pylist() == [[*want[1], end]]
+    monkeypatch.setattr(token_store, "_hashes", lambda chunks: np.zeros(len(chunks), np.uint64))
+    ours.known, ours.old = {}, {}
+    for _ in range(3):
+        assert ours.encode_batch(pa.array(texts), 2).to_pylist() == [[*ids, 2] for ids in want]
+
+
 def test_other_vocabularies_are_not_cut():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         other = f.read()
