@@ -61,11 +61,16 @@ def journal_verdict(marker_journal: Column, marker_usn: Column, journal: Column,
     return F.when(marker_journal != journal, F.lit("recreated")).when(first_usn > marker_usn, F.lit("rolled_off")).otherwise(F.lit("valid"))
 
 
-def marker_lifetime(markers: DataFrame) -> DataFrame:
-    """consumed, headroom, rate (per second) and remaining seconds (null without a rate) of a journal marker's rows: next_usn, recorded_ns, live_next_usn, first_usn, maximum_size, now_ns."""
+def marker_lifetime(markers: DataFrame, signed: bool = False) -> DataFrame:
+    """consumed, headroom, rate (per second) and remaining seconds (null without a rate) of a journal marker's rows: next_usn, recorded_ns, live_next_usn, first_usn, maximum_size, now_ns. A marker recorded after now counts as recorded now, without a rate; signed leaves age, rate and remaining seconds as they divide: negative then, and at age 0 an infinite rate with 0 seconds (not a number if nothing is consumed)."""
     m = markers.withColumn("consumed", F.greatest(F.col("live_next_usn") - F.col("next_usn"), F.lit(0)))
     m = m.withColumn("headroom", F.greatest(F.col("maximum_size") - F.col("consumed"), F.lit(0)))
-    m = m.withColumn("age_s", F.greatest((F.col("now_ns") - F.col("recorded_ns")) / 1e9, F.lit(0.0)))
+    m = m.withColumn("age_s", (F.col("now_ns") - F.col("recorded_ns")) / 1e9)
+    if signed:
+        at_once = F.when(F.col("consumed") > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+        m = m.withColumn("rate", F.when(F.col("age_s") == 0, at_once).otherwise(F.try_divide(F.col("consumed").cast("double"), F.col("age_s"))))
+        return m.withColumn("remaining_s", F.when(F.col("rate") != 0, F.col("headroom") / F.col("rate")))
+    m = m.withColumn("age_s", F.greatest("age_s", F.lit(0.0)))
     m = m.withColumn("rate", F.coalesce(F.try_divide(F.col("consumed").cast("double"), F.col("age_s")), F.lit(0.0)))
     return m.withColumn("remaining_s", F.when(F.col("rate") > 0, F.col("headroom") / F.col("rate")))
 

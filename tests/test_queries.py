@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import Window
 
@@ -49,3 +50,19 @@ def test_sniffing_reads_the_sample(spark, tmp_path):
     spark.createDataFrame([(5, "a\0b"), (1, "a" * 30 + "\0"), (11, "plain")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.file_id: r.is_text for r in QUERIES["sniff_text"](spark, str(tmp_path)).collect()}[5] is False
     assert {r.file_id: r.format for r in QUERIES["format_magic"](spark, str(tmp_path)).collect()} == {1: "binary", 5: "binary", 11: "text"}
+
+
+def test_markers_recorded_after_now_follow_the_sql(spark, tmp_path):
+    rows = [(k, 7 * k) for k in (39_997, 39_999, 40_000, 40_001, 40_003, 40_005, 149_999)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    compare(spark, con, str(tmp_path), QUERIES["marker_lifetime"], ORACLES["marker_lifetime"])
+
+
+def test_a_marker_recorded_after_now_has_no_rate(spark):
+    from cairn.operators.fresh import marker_lifetime
+
+    row = spark.createDataFrame([(0, 9 * 10**9, 50, 0, 1000, 10**9)], "next_usn long, recorded_ns long, live_next_usn long, first_usn long, maximum_size long, now_ns long")
+    got = marker_lifetime(row).first()
+    assert (got.age_s, got.rate, got.remaining_s) == (0.0, 0.0, None)
