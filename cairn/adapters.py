@@ -13,10 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_groups(df: DataFrame, most: int) -> int:
+    """The row groups of the Parquet files that are read, or `most` if there are as many files."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if len(files) >= most:
+        return most
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for f in files:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f), conf))
+        try:
+            found += reader.getRowGroups().size()
+        finally:
+            reader.close()
+    return found
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A small table of texts, which one row group may hold whole, dealt over all cores; a table of as many partitions as cores stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """A table that a few row groups hold dealt over all cores: no more tasks than row groups have rows, however many parts a file is cut into. A table of as many parts and row groups as cores stays as it is."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if parts >= cores and row_groups(df, cores) >= cores else df.repartition(max(cores, parts))
 
 
 def document_files(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame:

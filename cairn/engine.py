@@ -110,8 +110,8 @@ class Engine:
         rows = got.select("file_id", "path", kind.alias("verdict"), body.alias("body")).persist()
         docs = rows.where("verdict = 'indexed'").select("file_id", "path", "body")
         tables = {
-            "bodies": docs, "postings": lambda new: fulltext.in_order(fulltext.postings(new("bodies"))),
-            "terms": lambda new: fulltext.term_counts(new("postings")).repartitionByRange("term").sortWithinPartitions("term"),
+            "bodies": docs, "postings": lambda new: fulltext.postings(new("bodies")),
+            "terms": lambda new: fulltext.terms_in_order(new("postings")),
             "corpus": lambda new: fulltext.corpus_row(new("bodies"), new("terms")),
         }
         self.store.commit(tables, {"text_policy": policy.encode()}, LAYOUT)
@@ -135,7 +135,7 @@ class Engine:
         index = self.store.table("postings")
         tables = {
             "bodies": old.unionByName(now), "postings": lambda new: fulltext.in_order(fulltext.updated(index, touched, now.select("file_id", "body"))),
-            "terms": lambda new: fulltext.term_counts(new("postings")).repartitionByRange("term").sortWithinPartitions("term"),
+            "terms": lambda new: fulltext.terms_in_order(new("postings")),
             "corpus": lambda new: fulltext.corpus_row(new("bodies"), new("terms")),
         }
         self.store.commit(tables, None, LAYOUT)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,9 @@ from cairn.plans.search import Clauses, LiveTerms, Terms, parse
 
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}]+"
-#: Parts into which a word's documents are dealt, and words that are grouped at once.
-SPREAD = 16
-WORDS_AT_ONCE = 1_000_000
+#: Words that are sorted at once, and rows of a run that leave together.
+WORDS_AT_ONCE = 4_000_000
+RUN_ROWS = 100_000
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 
 
@@ -51,35 +52,61 @@ class TextIndex:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """term, file_id, tf, dl, positions. One row for each word of each document, so a common word is spread over its documents. All words of a document stand in one row, so that they are grouped without a shuffle, batch by batch: words are numbered, and one sort of (document, word) brings the places of each word together."""
+    """term, file_id, tf, dl, positions. One row for each word of each document, so a common word is spread over its documents. All words of a document stand in one row, so that they are grouped without a shuffle: words are numbered in their order and sorted with their places, WORDS_AT_ONCE together, so that the rows of a task are runs in order of term and document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = [], 0
         for batch in batches:
-            t = batch.column("t")
-            n = np.diff(t.offsets.to_numpy())
+            n = np.diff(batch.column("t").offsets.to_numpy())
             for begin, stop in _bounds(n):
-                lists = t.slice(begin, stop - begin)
-                dl = n[begin:stop]
-                words = lists.flatten().dictionary_encode()
-                doc = np.repeat(np.arange(len(dl)), dl)
-                pos = np.arange(len(doc)) - np.repeat(np.cumsum(dl) - dl, dl)
-                word = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                by = np.argsort(doc * max(1, len(words.dictionary)) + word, kind="stable")  # places stay in order
-                doc, word, pos = doc[by], word[by], pos[by]
-                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]) if len(doc) else np.zeros(0, np.int64)
-                tf = np.diff(np.r_[first, len(doc)])
-                places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)], pa.int32()), pa.array(pos, pa.int32()))
-                ids = batch.column("file_id").slice(begin, stop - begin).take(pa.array(doc[first]))
-                columns = [words.dictionary.take(pa.array(word[first])), ids, pa.array(tf, pa.int64()), pa.array(dl[doc[first]], pa.int32()), places]
-                yield pa.RecordBatch.from_arrays(columns, ["term", "file_id", "tf", "dl", "positions"])
+                more = int(n[begin:stop].sum())
+                if held and words + more > WORDS_AT_ONCE:
+                    yield from _run(held)
+                    held, words = [], 0
+                held.append(batch.slice(begin, stop - begin))
+                words += more
+        if held:
+            yield from _run(held)
 
     t = docs.select(F.col("file_id").cast("long").alias("file_id"), tokens(F.col("body")).alias("t")).where("t is not null")
     return t.mapInArrow(work, "term string, file_id bigint, tf bigint, dl int, positions array<int>")
 
 
+def _run(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of some documents in order of term and document, in parts of RUN_ROWS."""
+    ids = pa.concat_arrays([b.column("file_id") for b in batches])
+    order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+    lists = pa.concat_arrays([b.column("t") for b in batches])
+    if (order[1:] < order[:-1]).any():
+        ids, lists = ids.take(pa.array(order)), lists.take(pa.array(order))
+    dl = np.diff(lists.offsets.to_numpy())
+    words = lists.flatten().dictionary_encode()
+    names = words.dictionary
+    by_name = pc.array_sort_indices(names).to_numpy()
+    rank = np.empty(len(names), np.int64)
+    rank[by_name] = np.arange(len(names))
+    names = names.take(pa.array(by_name))
+    key = rank[words.indices.to_numpy(zero_copy_only=False)] << 32 | np.arange(len(words))  # word, then document and place
+    del words, lists
+    key.sort()
+    at = key & 0xFFFFFFFF
+    word = (key >> 32).astype(np.int32)
+    doc = np.repeat(np.arange(len(dl), dtype=np.int32), dl)[at]
+    pos = (at - (np.cumsum(dl) - dl)[doc]).astype(np.int32)
+    del key, at
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    ends = np.r_[first, len(doc)]
+    for k in range(0, len(first), RUN_ROWS):
+        e = ends[k : k + RUN_ROWS + 1]
+        f, d = e[:-1], doc[e[:-1]]
+        places = pa.ListArray.from_arrays(pa.array(e - e[0], pa.int32()), pa.array(pos[e[0] : e[-1]]))
+        columns = [names.take(pa.array(word[f])), ids.take(pa.array(d)), pa.array(np.diff(e), pa.int64()), pa.array(dl[d], pa.int32()), places]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "file_id", "tf", "dl", "positions"])
+
+
 def _bounds(n: np.ndarray) -> Iterator[tuple[int, int]]:
     """Rows that hold about WORDS_AT_ONCE words together, or one row."""
-    sums, begin = np.cumsum(n), 0
+    sums, begin = np.cumsum(n, dtype=np.int64), 0
     while begin < len(n):
         stop = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + WORDS_AT_ONCE, "right")))
         yield begin, stop
@@ -87,8 +114,8 @@ def _bounds(n: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """Postings sorted by term and document in each file, for row groups whose statistics tell their terms. A word's documents are dealt into SPREAD parts, so that a word in all documents is not one task; no pass over the postings is needed to find ranges."""
-    return rows.repartition("term", F.pmod(F.xxhash64("file_id"), F.lit(SPREAD))).sortWithinPartitions("term", "file_id")
+    """Postings of several makings (see updated) sorted by term and document in each file, for row groups and pages whose statistics tell their terms. They are sorted where they lie and not shuffled; those of postings() are runs in that order as they come."""
+    return rows.sortWithinPartitions("term", "file_id")
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -96,6 +123,11 @@ def term_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
+def terms_in_order(index: DataFrame) -> DataFrame:
+    """term_counts() sorted by term in each file; they lie dealt by term already."""
+    return term_counts(index).sortWithinPartitions("term")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """term, df, n of documents, without postings: words are counted before they are shuffled."""
     t = docs.select("file_id", F.explode(tokens(F.col("body"))).alias("term"))

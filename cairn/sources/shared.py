@@ -47,9 +47,8 @@ def write_index(docs: DataFrame, path: str) -> None:
     """Builds the index of documents (file_id, body) at a path; it is there whole or not at all."""
     spark = docs.sparkSession
     new = f"{path}-{uuid.uuid4().hex}"
-    fulltext.in_order(fulltext.postings(docs)).write.options(**LAYOUT).parquet(f"{new}/postings")
-    terms = fulltext.term_counts(spark.read.parquet(f"{new}/postings"))
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.options(**LAYOUT).parquet(f"{new}/terms")
+    fulltext.postings(docs).write.options(**LAYOUT).parquet(f"{new}/postings")
+    fulltext.terms_in_order(spark.read.parquet(f"{new}/postings")).write.options(**LAYOUT).parquet(f"{new}/terms")
     fulltext.corpus_row(docs, spark.read.parquet(f"{new}/terms")).write.parquet(f"{new}/corpus")
     fs, at = _path(spark, path)
     if not fs.rename(_path(spark, new)[1], at):

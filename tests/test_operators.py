@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,34 @@ def test_cjk_words_are_found(spark):
     find = lambda q: {r.file_id for r in fulltext.search(index, q, None).collect()}
     assert find("会議") == {1, 2} and find("京都の") == {2} and find("東京都") == {1} and find("会議 AND meeting") == {1}
     assert find("データ") == {3} and find("都") == {4} and parse("京都の") == Terms(("京都", "都の"))
+
+
+def test_postings_come_in_runs_of_words_and_documents(spark, monkeypatch):
+    from cairn.operators import fulltext
+
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 11}" for j in range(k % 5 + 1))) for k in (5, 3, 9, 1, 12, 7)]
+    docs = spark.createDataFrame(rows, "file_id long, body string").coalesce(1)
+    got = [(r.term, r.file_id, r.tf, r.dl, r.positions) for r in fulltext.postings(docs).collect()]
+    want = []
+    for k, body in rows:
+        words = body.split()
+        want += [(w, k, words.count(w), len(words), [i for i, x in enumerate(words) if x == w]) for w in set(words)]
+    assert got == sorted(want)
+    assert not fulltext.postings(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert list(fulltext._bounds(np.array([2_000_000, 3_000_000, 9_000_000, 1], np.int32))) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def test_a_row_group_is_dealt_over_all_cores(spark, tmp_path):
+    from cairn import adapters
+
+    rows = spark.range(4000).selectExpr("id AS doc_id", "repeat(sha2(cast(id AS string), 512), 4) AS text")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        t = adapters.table(spark, str(tmp_path), "documents")
+        assert t.rdd.getNumPartitions() > 4 and adapters.row_groups(t, 4) == 1
+        sizes = adapters.spread(t).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert max(sizes) < 4000 // 4 + 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
