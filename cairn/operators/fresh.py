@@ -120,5 +120,6 @@ def search(hits: DataFrame, files: DataFrame, changes: DataFrame, bodies: DataFr
     now = files.select("file_id", "path", "mtime_ns")
     kept = drop_class(hits.join(now, "file_id"), changes, files).where("dropped is null").drop("dropped")
     known = scan.live(files).select("path", "file_id")
-    found = changes.where("exists").join(bodies, "path").withColumn("score", grep_score(F.col("body"), terms).cast("double"))
-    return merge_page(found.where("score > 0").join(known, "path", "left"), kept, limit)
+    scored = bodies.select("path", grep_score(F.col("body"), terms).cast("double").alias("score")).where("score > 0")  # texts are not shuffled
+    found = changes.where("exists").join(scored, "path")
+    return merge_page(found.join(known, "path", "left"), kept, limit)

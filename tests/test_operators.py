@@ -266,3 +266,14 @@ def test_a_row_group_is_dealt_over_all_cores(spark, tmp_path):
         assert max(sizes) < 4000 // 4 + 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_live_search_shuffles_no_texts(spark):
+    import re
+
+    files = spark.createDataFrame([(1, "/a", 5, None), (2, "/b", 5, None)], "file_id long, path string, mtime_ns long, deleted_at long")
+    changes = spark.createDataFrame([("/a", 1, 9, True), ("/b", 1, 9, True)], "path string, size long, mtime_ns long, exists boolean")
+    bodies = spark.createDataFrame([("/a", "The cat"), ("/b", "a dog")], "path string, body string")
+    got = fresh.search(spark.createDataFrame([(2, 1.0)], "file_id long, score double"), files, changes, bodies, "cat", 10)
+    assert [(r.origin, r.path, r.file_id, r.score) for r in got.collect()] == [("live", "/a", 1, 1.0)]
+    assert not re.search(r"Project \[(?:[^\n]*, )?body#\d+(?:,|\])", got._jdf.queryExecution().optimizedPlan().toString())
