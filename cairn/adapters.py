@@ -60,7 +60,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """parts as files whose names show dates, versions and patterns; every rule of names has its rows."""
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    p, k = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name")), F.col("p_partkey")
     month, day = F.lpad((k % 13).cast("string"), 2, "0"), F.lpad((k % 32).cast("string"), 2, "0")
     year = (1968 + k % 134).cast("string")
     kinds = [
@@ -84,7 +84,7 @@ def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tag layer of low-cardinality facets over parts."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_name"))
     facet = lambda ns, v: F.struct(F.lit(ns).alias("namespace"), F.lower(v.cast("string")).alias("value"))
     words = F.split("p_name", " ")
     facets = F.array(facet("brand", F.col("p_brand")), facet("type", F.col("p_type")), facet("size", F.col("p_size")), facet("word", words[0]), facet("word", words[1]), facet("source", F.lit("catalogue")))

@@ -268,12 +268,35 @@ def test_a_row_group_is_dealt_over_all_cores(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_live_search_shuffles_no_texts(spark):
-    import re
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
 
+def test_live_search_shuffles_no_texts(spark):
     files = spark.createDataFrame([(1, "/a", 5, None), (2, "/b", 5, None)], "file_id long, path string, mtime_ns long, deleted_at long")
     changes = spark.createDataFrame([("/a", 1, 9, True), ("/b", 1, 9, True)], "path string, size long, mtime_ns long, exists boolean")
     bodies = spark.createDataFrame([("/a", "The cat"), ("/b", "a dog")], "path string, body string")
     got = fresh.search(spark.createDataFrame([(2, 1.0)], "file_id long, score double"), files, changes, bodies, "cat", 10)
     assert [(r.origin, r.path, r.file_id, r.score) for r in got.collect()] == [("live", "/a", 1, 1.0)]
-    assert not re.search(r"Project \[(?:[^\n]*, )?body#\d+(?:,|\])", got._jdf.queryExecution().optimizedPlan().toString())
+    joins = [n for n in _nodes(got._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    assert joins and not any("body#" in n.output().toString() for n in joins)
+
+
+def test_parts_of_one_row_group_are_dealt_over_all_cores(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand", "'SMALL' AS p_type", "1 AS p_size", "concat('big ', sha2(cast(id AS string), 512)) AS p_name")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (adapters.named_files(spark, str(tmp_path)), adapters.part_tags(spark, str(tmp_path))):
+        sizes = made.select("file_id").distinct().count(), made.rdd.mapPartitions(lambda rows: [len({r.file_id for r in rows})]).collect()
+        assert sizes[0] == 4000 and max(sizes[1]) <= 1001
+
+
+def test_coverage_counts_a_tasks_own_files(spark):
+    rows = [(1, "project", "a"), (1, "project", "b"), (1, "ext", "txt"), (2, "ext", "txt"), (3, "ext", "md"), (3, "state", "new")]
+    tagged = spark.createDataFrame(rows, "file_id long, namespace string, value string")
+    got = tags.coverage(spark.range(4), tagged)
+    assert sorted(map(tuple, got.collect())) == [("", 3, 5, 6, 0.75), ("(semantic)", 2, 3, 3, 0.5), ("ext", 3, 2, 3, 0.75), ("project", 1, 2, 2, 0.25), ("state", 1, 1, 1, 0.25)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file_id#" in plan and "hashpartitioning(namespace#" in plan
+    assert not any("file_id#" in line and "namespace#" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line)
