@@ -127,9 +127,15 @@ def coverage(files: DataFrame, tagged: DataFrame) -> DataFrame:
     """namespace, n_files, n_tags, n_rows, share of all files; one row more, of namespace '', for files with any tag, and one of namespace '(semantic)' for files with a tag about content."""
     total = files.agg(F.count("*").alias("total"))
     semantic = ~F.col("namespace").isin(fixed.STRUCTURAL_NAMESPACES)
-    groups = F.array_compact(F.array(F.col("namespace"), F.lit(""), F.when(semantic, F.lit("(semantic)"))))
-    rows = tagged.select("file_id", F.struct("namespace", "value").alias("tag"), F.explode(groups).alias("namespace"))
-    per_file = rows.groupBy("namespace", "file_id").agg(F.count("*").alias("n")).groupBy("namespace").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_rows"))
-    per_tag = rows.groupBy("namespace", "tag").agg(F.count("*").alias("n")).groupBy("namespace").agg(F.count("*").alias("n_tags"))
+    # Files are dealt out before they are counted: what a task holds is its share of them, not all that its part of the table has.
+    per_name = tagged.select("file_id", "namespace").repartition("file_id").groupBy("file_id", "namespace").agg(F.count("*").alias("n"))
+    sums = per_name.groupBy("file_id").agg(F.sum("n").alias("n"), F.sum(F.when(semantic, F.col("n"))).alias("s"))
+    counts = [F.count("*").alias("n_files"), F.sum("n").alias("n_rows")]
+    per_file = per_name.groupBy("namespace").agg(*counts)
+    groups = F.array_compact(F.array(F.struct(F.lit("").alias("namespace"), "n"), F.when(F.col("s") > 0, F.struct(F.lit("(semantic)").alias("namespace"), F.col("s").alias("n")))))
+    per_file = per_file.unionByName(sums.select(F.inline(groups)).groupBy("namespace").agg(*counts))
+    names = F.array_compact(F.array(F.col("namespace"), F.lit(""), F.when(semantic, F.lit("(semantic)"))))
+    tags = tagged.groupBy("namespace", "value").agg(F.count("*").alias("n"))
+    per_tag = tags.select(F.explode(names).alias("namespace")).groupBy("namespace").agg(F.count("*").alias("n_tags"))
     out = per_file.join(per_tag, "namespace").join(F.broadcast(total))  # one row
     return out.select("namespace", "n_files", "n_tags", "n_rows", F.round(F.coalesce(F.try_divide(F.col("n_files").cast("double"), F.col("total").cast("double")), F.lit(0.0)), 6).alias("share"))
