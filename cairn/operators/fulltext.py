@@ -274,19 +274,19 @@ def without_kerning_blanks(body: Column) -> Column:
 def long_runs_broken(text: str, limit: int = 32 << 10) -> tuple[str, int]:
     """(text, breaks): no run over `limit` bytes without newline, tab or the CJK full stop and comma; the last blank in a run becomes a newline, else one is put in between two characters. For analyzers that search a lattice."""
     out, breaks = [], 0
-    for run in re.split("(?<=[\n\t。、])", text):
-        while len(run.encode()) > limit:
-            head = run.encode()[:limit].decode("utf-8", "ignore")
-            at = max(head.rfind(" "), head.rfind("\r"))
+    for found in re.finditer("[^\n\t。、]*[\n\t。、]|[^\n\t。、]+", text):
+        run = found.group().encode()
+        begin = 0
+        while len(run) - begin > limit:  # what is left is not copied for each piece
+            end = begin + limit
+            while run[end] & 0xC0 == 0x80:  # not inside a character
+                end -= 1
+            at = max(run.rfind(b" ", begin, end), run.rfind(b"\r", begin, end))
             breaks += 1
-            if at > 0:
-                out.append(run[:at] + "\n")
-                run = run[at + 1 :]
-            else:
-                out.append(head + "\n")
-                run = run[len(head) :]
-        out.append(run)
-    return "".join(out), breaks
+            out += [run[begin : at if at > begin else end], b"\n"]
+            begin = at + 1 if at > begin else end
+        out.append(run[begin:] if begin else run)
+    return b"".join(out).decode(), breaks
 
 
 def recall_precision(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn import adapters as A
@@ -14,18 +16,29 @@ from cairn.operators.fulltext import long_runs_broken
 from cairn.sources.documents import extract
 
 RUN_BYTES = 512
+#: Texts that are Python strings at a time are one; rows whose results wait are as many.
+ROWS_AT_ONCE = 1000
 
 
 def lattice_breaks(spark: SparkSession, d: str) -> DataFrame:
     """file_id, n_breaks, longest (bytes of the longest run after) of every document, for runs of RUN_BYTES."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [long_runs_broken(b or "", RUN_BYTES) for b in f["body"]]
-            longest = [max(len(r.encode()) for r in t.replace("\t", "\n").replace("。", "\n").replace("、", "\n").split("\n")) for t, _ in got]
-            yield pd.DataFrame({"file_id": f["file_id"], "n_breaks": [n for _, n in got], "longest": longest})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                got = [_broken(b.as_py() or "") for b in part.column("body")]
+                columns = [part.column("file_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["file_id", "n_breaks", "longest"])
+            del batch, part
+            pa.default_memory_pool().release_unused()
+
+    return A.bodies(spark, d).mapInArrow(work, "file_id bigint, n_breaks bigint, longest bigint")
+
 
-    return A.bodies(spark, d).mapInPandas(work, "file_id bigint, n_breaks bigint, longest bigint")
+def _broken(text: str) -> tuple[int, int]:
+    broken, n = long_runs_broken(text, RUN_BYTES)
+    return n, max(len(r.encode()) for r in re.split("[\n\t。、]", broken))
 
 
 def _docx(text: str, author: str) -> bytes:
